@@ -40,7 +40,7 @@ def word_count_summary(df: DataFrame) -> DataFrame:
     return histogram.agg(
         F.sum("n").alias("total"),
         (F.sum(F.col("word_count") * F.col("n")) / F.sum("n")).alias("mean_words"),
-        F.percentile("word_count", F.lit(0.5), "n").alias("median_words"),
+        F.percentile("word_count", F.lit(0.5), F.col("n")).alias("median_words"),
     )
 
 

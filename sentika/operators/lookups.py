@@ -106,9 +106,7 @@ def detect_language(
     ``unknown`` without any. Counted inside the row, so nothing is shuffled."""
     codes = sorted(profiles)
     tokens = evaluate_once(df, {"__words": word_tokens(F.coalesce(F.col(text_col), F.lit("")))})
-    counts = {
-        f"__hits_{c}": F.size(F.filter("__words", lambda w, c=c: w.isin(*profiles[c]))) for c in codes
-    }
+    counts = {f"__hits_{c}": _count_in(F.col("__words"), profiles[c]) for c in codes}
     scored = evaluate_once(tokens, counts).drop("__words")
     best = F.greatest(*counts) if len(codes) > 1 else F.col(*counts)
     guess = F.when(best == 0, F.lit("unknown"))
@@ -117,6 +115,10 @@ def detect_language(
     return scored.withColumn(out_col, guess).drop(*counts)
 
 
+def _count_in(tokens: Column, chosen: Sequence[str]) -> Column:
+    return F.size(F.filter(tokens, lambda w: w.isin(*chosen)))
+
+
 def term_frequencies(
     labeled: DataFrame,
     stop_words: Sequence[str] = (),

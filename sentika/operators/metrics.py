@@ -74,7 +74,12 @@ def classification_report(long: DataFrame) -> DataFrame:
             zero.alias("predicted"),
             F.when(hit, n).otherwise(zero).alias("tp"),
         ),
-        F.struct(F.col("sentiment_pred"), zero, n, zero),
+        F.struct(
+            F.col("sentiment_pred").alias("class"),
+            zero.alias("support"),
+            n.alias("predicted"),
+            zero.alias("tp"),
+        ),
     )
     sums = (
         sentiment_confusion(long)

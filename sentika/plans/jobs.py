@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentika.functions.labels import TIER_TEXTS, label_reviews, naive_sentiment, priority_tier
 from sentika.functions.text import clean_reviews
 from sentika.lexicons import NEGATIVE, POSITIVE, Lexicon
-from sentika.operators.distributions import aspect_sentiment_pct
+from sentika.operators.distributions import aspect_sentiment_pct, dense_grid, pct_within
 from sentika.operators.models import score_reviews, score_reviews_rules
 from sentika.operators.selection import (
     conform_schema,
@@ -133,8 +133,6 @@ def report_rows(
 
 
 def _dist_from_cube(cube: DataFrame, aspects: Sequence[str]) -> DataFrame:
-    from sentika.operators.distributions import dense_grid, pct_within
-
     counts = (
         cube.select(F.explode("aspects").alias("aspect"), F.col("sentiment_rule").alias("sentiment"), "n")
         .groupBy("aspect", "sentiment")
@@ -143,13 +141,17 @@ def _dist_from_cube(cube: DataFrame, aspects: Sequence[str]) -> DataFrame:
     return pct_within(dense_grid(counts, aspects), "aspect")
 
 
+def _by_item(a, b):
+    return F.when(a["item"] < b["item"], -1).when(a["item"] > b["item"], 1).otherwise(0)
+
+
 def report_document(rows: DataFrame, title: str = "", period: str = "", source: str = "") -> DataFrame:
     """The long report as one JSON document (a few dozen entries)."""
     section = F.col("section")
 
-    def entries(name: str, value) -> F.Column:
+    def entries(name: str, value: Column) -> Column:
         pairs = F.collect_list(F.when(section == name, F.struct(F.col("item"), value.alias("v"))))
-        return F.map_from_entries(F.array_sort(pairs))
+        return F.map_from_entries(F.array_sort(pairs, _by_item))
 
     mood = F.struct(F.col("n").alias("count"), F.col("value").alias("pct"))
     per_aspect = (

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def ddl(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+def columns(**types: str) -> T.StructType:
+    """A schema of nullable columns with simple types."""
+    schema = T.StructType()
+    for name, kind in types.items():
+        schema = schema.add(name, kind)
+    return schema
 
 
 # Source field names of the store feed and the columns they become.
@@ -23,30 +27,61 @@ SOURCE_COLUMNS = {
     "repliedAt": "dev_reply_date",
 }
 
-LANDING = ddl(
-    "reviewId string, userName string, userImage string, content string, score int, "
-    "thumbsUpCount int, reviewCreatedVersion string, at timestamp, "
-    "replyContent string, repliedAt timestamp"
+LANDING = columns(
+    reviewId="string",
+    userName="string",
+    userImage="string",
+    content="string",
+    score="integer",
+    thumbsUpCount="integer",
+    reviewCreatedVersion="string",
+    at="timestamp",
+    replyContent="string",
+    repliedAt="timestamp",
 )
 
-RAW = ddl(
-    "review_id string, username string, user_image_url string, review_text string, "
-    "rating int, helpful_count int, app_version string, review_date timestamp, "
-    "dev_reply string, dev_reply_date timestamp"
+RAW = columns(
+    review_id="string",
+    username="string",
+    user_image_url="string",
+    review_text="string",
+    rating="integer",
+    helpful_count="integer",
+    app_version="string",
+    review_date="timestamp",
+    dev_reply="string",
+    dev_reply_date="timestamp",
 )
 
-LABELED = ddl(
-    "review_id string, review_text string, clean_text string, rating int, "
-    "char_count int, word_count int, sent_count int, aspects array<string>, "
-    "aspect_count int, sentiment_rule string, matched_keywords map<string,int>, "
-    "is_multilabel boolean"
+LABELED = (
+    columns(
+        review_id="string",
+        review_text="string",
+        clean_text="string",
+        rating="integer",
+        char_count="integer",
+        word_count="integer",
+        sent_count="integer",
+    )
+    .add("aspects", T.ArrayType(T.StringType()))
+    .add("aspect_count", "integer")
+    .add("sentiment_rule", "string")
+    .add("matched_keywords", T.MapType(T.StringType(), T.IntegerType()))
+    .add("is_multilabel", "boolean")
 )
 
-LEXICON = ddl("kind string, label string, term string, ord int, replacement string")
+LEXICON = columns(kind="string", label="string", term="string", ord="integer", replacement="string")
 
-TRAINING_LOG = ddl(
-    "training_log array<struct<epoch:int,train_loss:double,"
-    "val_aspect_f1_macro:double,val_sentiment_f1_avg:double>>"
+TRAINING_LOG = T.StructType().add(
+    "training_log",
+    T.ArrayType(
+        columns(
+            epoch="integer",
+            train_loss="double",
+            val_aspect_f1_macro="double",
+            val_sentiment_f1_avg="double",
+        )
+    ),
 )
 
 ANNOTATION_INPUT = ["review_id", "review_text", "clean_text", "rating", "aspects", "sentiment_rule"]

@@ -59,6 +59,8 @@ def write_csv(df: DataFrame, path: str) -> None:
         .option("header", True)
         .option("escape", '"')
         .option("quoteAll", True)
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
 

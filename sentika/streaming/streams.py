@@ -21,15 +21,11 @@ def read_json_stream(spark: SparkSession, path: str, schema: T.StructType, per_b
 
 
 def read_table_stream(
-    spark: SparkSession, folder: str, pattern: str, schema: T.StructType, per_batch: int = 100
+    spark: SparkSession, path: str, schema: T.StructType, per_batch: int = 100
 ) -> DataFrame:
-    """Parquet files of a folder whose names match ``pattern``."""
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", per_batch)
-        .parquet(folder)
-    )
+    """Parquet table as a stream of its files; a pattern in the path lets a table be
+    a folder or a single file."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(path)
 
 
 def stream_score(reviews: DataFrame, lexicon: Lexicon, rating_col: str | None = "rating") -> DataFrame:
@@ -61,7 +57,8 @@ def stream_aspect_counts(
 def run_available(stream: DataFrame, name: str, mode: str = "append", timeout: int = 600) -> str:
     """Process everything that has arrived into a fresh parquet folder and return it.
 
-    ``complete`` and ``update`` results replace the folder at each batch.
+    In update mode every batch is its own ``batch`` partition, rewritten whole if the
+    batch is repeated after a failure; :func:`latest_updates` reads the result.
     """
     spark = stream.sparkSession
     out, progress = scratch_path(spark, name), scratch_path(spark, f"{name}-progress")
@@ -70,11 +67,16 @@ def run_available(stream: DataFrame, name: str, mode: str = "append", timeout: i
         query = writer.outputMode("append").format("parquet").option("path", out).start()
     else:
 
-        def replace(batch: DataFrame, _: int) -> None:
-            batch.write.mode("overwrite").parquet(out)
+        def keep(batch: DataFrame, batch_id: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-        query = writer.outputMode(mode).foreachBatch(replace).start()
+        query = writer.outputMode("update").foreachBatch(keep).start()
     if not query.awaitTermination(timeout):
         query.stop()
         raise TimeoutError(f"stream {name} did not finish in {timeout} s")
     return out
+
+
+def latest_updates(spark: SparkSession, path: str, keys: list[str], value: str) -> DataFrame:
+    """The last value each key was given over all batches."""
+    return spark.read.parquet(path).groupBy(*keys).agg(F.max_by(value, "batch").alias(value))
