@@ -532,7 +532,9 @@ def oracle_sql() -> dict[str, str]:
         "stream_score": f"WITH {ALL_LABELED} SELECT review_id, {JOINED} AS aspects, CAST(len(aspects) AS INT) AS aspect_count, sentiment_rule, len(aspects) > 1 AS is_multilabel FROM labeled",
         "stream_dedup": reviews_only("SELECT review_id, review_text, rating FROM reviews"),
         "stream_aspect_counts": f"""WITH {ALL_LABELED}
-            SELECT strftime(review_date, '%Y-%m-%d') AS day, unnest(aspects) AS aspect, sentiment_rule AS sentiment, count(*) AS n FROM labeled GROUP BY ALL""",
+            SELECT day, aspect, sentiment, count(*) AS n FROM (
+              SELECT strftime(review_date, '%Y-%m-%d') AS day, unnest(aspects) AS aspect, sentiment_rule AS sentiment FROM labeled)
+            GROUP BY ALL""",
     }
 
 
