@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
@@ -47,6 +49,7 @@ class TrainingConfig:
     reg_params: Sequence[float] = (0.0, 0.01, 0.1)
     seed: int = 42
     weights_from: str = "train"  # or "all": count every labelled row
+    parallelism: int = 4  # heads fitted at the same time
 
 
 def tfidf_pipeline(text_col: str = "clean_text", config: TrainingConfig = TrainingConfig()) -> Pipeline:
@@ -74,40 +77,38 @@ def label_arrays(labeled: DataFrame, aspects: Sequence[str]) -> DataFrame:
 
 
 def fit_aspect_heads(
-    features: DataFrame, aspects: Sequence[str], reg_param: float, max_iter: int
+    features: DataFrame, aspects: Sequence[str], config: TrainingConfig, reg_param: float
 ) -> list[Model]:
     """One binary model per aspect on ``features`` and ``aspect_true``."""
-    heads = []
+    fits = []
     for i in range(len(aspects)):
         data = features.select("features", F.get("aspect_true", F.lit(i)).cast("double").alias("label"))
-        heads.append(
-            LogisticRegression(
-                maxIter=max_iter,
-                regParam=reg_param,
-                predictionCol=f"aspect_pred_{i}",
-                probabilityCol=f"aspect_prob_{i}",
-                rawPredictionCol=f"aspect_raw_{i}",
-            ).fit(data)
+        head = LogisticRegression(
+            maxIter=config.max_iter,
+            regParam=reg_param,
+            predictionCol=f"aspect_pred_{i}",
+            probabilityCol=f"aspect_prob_{i}",
+            rawPredictionCol=f"aspect_raw_{i}",
         )
-    return heads
+        fits.append((head, data))
+    return _fit_all(fits, config.parallelism)
 
 
 def fit_sentiment_heads(
     features: DataFrame,
     aspects: Sequence[str],
+    config: TrainingConfig,
     reg_param: float,
-    max_iter: int,
     weights: Mapping[int, float] | None = None,
-) -> list[Model | None]:
-    """One three-class model per aspect, on the rows that carry the aspect; None
-    where no row does."""
+) -> list[Model]:
+    """One three-class model per aspect, on the rows that carry the aspect; an aspect
+    that no row carries gets none."""
     counted = features.agg(
         *[F.count_if(F.get("aspect_true", F.lit(i)) == 1).alias(f"n_{i}") for i in range(len(aspects))]
     ).first()
-    heads: list[Model | None] = []
+    fits = []
     for i in range(len(aspects)):
         if not counted[f"n_{i}"]:
-            heads.append(None)
             continue
         label = F.get("sentiment_true", F.lit(i))
         weight = F.lit(1.0)
@@ -116,18 +117,26 @@ def fit_sentiment_heads(
         data = features.where(label != -1).select(
             "features", label.cast("double").alias("label"), weight.alias("weight")
         )
-        heads.append(
-            LogisticRegression(
-                family="multinomial",
-                maxIter=max_iter,
-                regParam=reg_param,
-                weightCol="weight",
-                predictionCol=f"sentiment_pred_{i}",
-                probabilityCol=f"sentiment_prob_{i}",
-                rawPredictionCol=f"sentiment_raw_{i}",
-            ).fit(data)
+        head = LogisticRegression(
+            family="multinomial",
+            maxIter=config.max_iter,
+            regParam=reg_param,
+            weightCol="weight",
+            predictionCol=f"sentiment_pred_{i}",
+            probabilityCol=f"sentiment_prob_{i}",
+            rawPredictionCol=f"sentiment_raw_{i}",
         )
-    return heads
+        fits.append((head, data))
+    return _fit_all(fits, config.parallelism)
+
+
+def _fit_all(fits: Sequence[tuple[LogisticRegression, DataFrame]], parallelism: int) -> list[Model]:
+    """Fit independent heads at the same time: the jobs are Spark's, the threads only
+    submit them, so one head's short stages fill the idle cores of another's."""
+    session = fits[0][1].sparkSession if fits else None
+    with ThreadPool(max(1, min(parallelism, len(fits)))) as pool:
+        run = inheritable_thread_target(session)(lambda fit: fit[0].fit(fit[1]))
+        return pool.map(run, fits)
 
 
 def prediction_arrays(scored: DataFrame, aspects: Sequence[str], threshold: float = 0.5) -> DataFrame:
@@ -175,12 +184,16 @@ def train_evaluate(
 ) -> Trained:
     """Split, weigh, fit every candidate penalty, keep the best on validation, test it.
 
-    Runs jobs. The featurised rows are written once to the shared scratch folder and
-    read by every fit, so no fit cleans text again and a lost executor costs only
-    the blocks it was reading.
+    Runs jobs. Labelled rows and then their features are written once to the shared
+    scratch folder and read by every fit, so no fit cleans text again and a lost
+    executor costs only the blocks it was reading.
     """
     spark = labeled.sparkSession
-    rows = label_arrays(train_val_test_split(labeled, key, seed=config.seed), aspects)
+    texts = scratch_path(spark, "labeled")
+    label_arrays(train_val_test_split(labeled, key, seed=config.seed), aspects).select(
+        key, "split", text_col, "aspects", "sentiment_rule", "aspect_true", "sentiment_true"
+    ).write.parquet(texts)
+    rows = spark.read.parquet(texts)
     text_model = tfidf_pipeline(text_col, config).fit(rows.where("split = 'train'").select(text_col))
     path = scratch_path(spark, "features")
     text_model.transform(rows).select(
@@ -193,11 +206,12 @@ def train_evaluate(
     weights = {r.sentiment_id: r.weight for r in class_weights(counted, aspects).collect()}
     candidates, entries = [], []
     for epoch, reg_param in enumerate(config.reg_params, 1):
-        heads: list[Model | None] = [
-            *fit_aspect_heads(train, aspects, reg_param, config.max_iter),
-            *fit_sentiment_heads(train, aspects, reg_param, config.max_iter, weights),
-        ]
-        fitted = PipelineModel([h for h in heads if h is not None])
+        fitted = PipelineModel(
+            [
+                *fit_aspect_heads(train, aspects, config, reg_param),
+                *fit_sentiment_heads(train, aspects, config, reg_param, weights),
+            ]
+        )
         scores = evaluate(fitted.transform(val), aspects).first()
         candidates.append(fitted)
         entries.append((epoch, float(reg_param), *(v or 0.0 for v in scores)))

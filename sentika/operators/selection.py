@@ -191,11 +191,13 @@ def oversample_minority(df: DataFrame, label: str, key: str, seed: int = 42) ->
     A class of n rows is copied ``max // n`` times whole, and the rest is made up by
     the rows that come first in hash order. Exact counts of 4,096 hash buckets tell
     which buckets are taken whole; only the one bucket per class where the cut falls
-    is ranked, so no class is sorted in one task.
+    is ranked, so no class is sorted in one task. The counts are written once.
     """
     u = (hash_unit(F.col(key), seed) * 4096).cast("int")
     tagged = df.where(F.col(label).isNotNull()).withColumn("__bucket", u)
-    sizes = tagged.groupBy(label, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    sizes = reliable_checkpoint(
+        tagged.groupBy(label, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    )
     per_class = sizes.groupBy(label).agg(F.sum("__n").alias("__class"))
     running = Window.partitionBy(label).orderBy("__bucket")
     largest = F.max("__class").over(Window.partitionBy(F.lit(0)))

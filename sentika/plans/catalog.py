@@ -33,6 +33,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 TRAINING = ML.TrainingConfig(num_features=1 << 12, max_iter=5, reg_params=(0.0, 0.1))
+ONE_CANDIDATE = ML.TrainingConfig(num_features=1 << 12, max_iter=5, reg_params=(0.1,))
 
 
 def query(fn: Query) -> Query:
@@ -165,7 +166,7 @@ def score_file(spark, sf):
 @query
 def save_load_model(spark, sf):
     path = scratch_path(spark, "model")
-    ML.save_model(ML.train_evaluate(V.labeled(spark, sf), ASPECTS, TRAINING).model, path)
+    ML.save_model(ML.train_evaluate(V.labeled(spark, sf), ASPECTS, ONE_CANDIDATE).model, path)
     return _score(V.reviews(spark, sf), ML.load_model(path))
 
 
@@ -790,16 +791,11 @@ def _featurised(spark, sf) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _apply(heads, rows: DataFrame) -> DataFrame:
-    for head in heads:
-        rows = head.transform(rows) if head is not None else rows
-    return rows
-
-
 @query
 def aspect_classifier(spark, sf):
     rows = _featurised(spark, sf)
-    scored = _apply(ML.fit_aspect_heads(rows, ASPECTS, 0.1, TRAINING.max_iter), rows)
+    heads = ML.fit_aspect_heads(rows, ASPECTS, TRAINING, 0.1)
+    scored = ML.PipelineModel(heads).transform(rows)
     return scored.select("review_id", *[F.col(f"aspect_pred_{i}").cast("int").alias(a.lower()) for i, a in enumerate(ASPECTS)])
 
 
@@ -807,11 +803,9 @@ def aspect_classifier(spark, sf):
 def sentiment_classifier(spark, sf):
     rows = _featurised(spark, sf)
     weights = {r.sentiment_id: r.weight for r in D.class_weights(rows, ASPECTS).collect()}
-    heads = ML.fit_sentiment_heads(rows, ASPECTS, 0.1, TRAINING.max_iter, weights)
-    kept = [(i, a) for i, (a, h) in enumerate(zip(ASPECTS, heads)) if h is not None]
-    return _apply(heads, rows).select(
-        "review_id", *[F.col(f"sentiment_pred_{i}").cast("int").alias(a.lower()) for i, a in kept]
-    )
+    scored = ML.PipelineModel(ML.fit_sentiment_heads(rows, ASPECTS, TRAINING, 0.1, weights)).transform(rows)
+    moods = {a: f"sentiment_pred_{i}" for i, a in enumerate(ASPECTS) if f"sentiment_pred_{i}" in scored.columns}
+    return scored.select("review_id", *[F.col(c).cast("int").alias(a.lower()) for a, c in moods.items()])
 
 
 @query
@@ -830,7 +824,7 @@ def _score(reviews: DataFrame, model) -> DataFrame:
 
 @query
 def score_reviews(spark, sf):
-    model = ML.train_evaluate(V.labeled(spark, sf), ASPECTS, TRAINING).model
+    model = ML.train_evaluate(V.labeled(spark, sf), ASPECTS, ONE_CANDIDATE).model
     return _score(V.reviews(spark, sf), model)
 
 
