@@ -103,16 +103,13 @@ def report_rows(
         "n",
         F.round("pct", 2).alias("value"),
     )
-    wide = moods.groupBy("aspect").agg(
-        F.round(F.max(F.when(F.col("sentiment") == NEGATIVE, F.col("pct"))), 2).alias("neg"),
-        F.round(F.max(F.when(F.col("sentiment") == POSITIVE, F.col("pct"))), 2).alias("pos"),
-    )
-    tiers = wide.select(
+    negative = F.round("pct", 2)
+    tiers = moods.where(F.col("sentiment") == NEGATIVE).select(
         F.lit("tier").alias("section"),
         F.col("aspect").alias("item"),
-        priority_tier(F.col("neg")).alias("detail"),
+        priority_tier(negative).alias("detail"),
         F.lit(None).cast("bigint").alias("n"),
-        F.col("neg").alias("value"),
+        negative.alias("value"),
     )
     rows = total.unionByName(ratings).unionByName(dist).unionByName(tiers)
     if regression:
@@ -163,6 +160,11 @@ def report_document(rows: DataFrame, title: str = "", period: str = "", source:
     high, watch, good = TIER_TEXTS
     status = F.when(F.col("detail") == "high", high).when(F.col("detail") == "watch", watch).otherwise(good)
     merged = rows.where(section != "sentiment").unionByName(per_aspect, allowMissingColumns=True)
+
+    def advice(aspect: Column, tier: Column) -> Column:
+        positive = F.element_at(F.element_at("moods", aspect), POSITIVE)
+        return F.struct(tier["status"].alias("status"), tier["neg_pct"].alias("neg_pct"), positive["pct"].alias("pos_pct"))
+
     document = F.struct(
         F.lit(title).alias("judul_penelitian"),
         F.struct(
@@ -173,7 +175,7 @@ def report_document(rows: DataFrame, title: str = "", period: str = "", source:
         ).alias("dataset"),
         F.col("moods").alias("distribusi_sentimen_per_aspek"),
         F.col("regression").alias("regresi_ridge"),
-        F.col("tiers").alias("rekomendasi_strategis"),
+        F.transform_values("tiers", advice).alias("rekomendasi_strategis"),
     )
     return merged.agg(
         F.max(F.when(section == "dataset", F.col("n"))).alias("total"),
