@@ -8,6 +8,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sentika.functions.text import KEPT_PUNCTUATION
 from sentika.lexicons import GENERAL, NEGATIVE, NEUTRAL, POSITIVE, SENTIMENT_IDS, Lexicon
 from sentika.session import evaluate_once
 
@@ -20,13 +21,18 @@ TIER_TEXTS = (
 )
 
 
-def lexicon_pattern(terms: Iterable[str]) -> str:
+def lexicon_pattern(terms: Iterable[str], cleaned: bool = False) -> str:
     """Case-insensitive whole-word pattern; the first listed term wins at a position.
 
     Terms are grouped by first letter behind a look-ahead, so most word starts are
     rejected by one character test. Only terms that share a first letter can
     compete at a position, and their listed order is kept inside the group.
+
+    ``cleaned`` is for text from the cleaning chain with a blank put in front: all its
+    characters but a dozen separators belong to words, so a separator before the term
+    replaces the general and slower word-boundary test.
     """
+    terms = list(terms)
     groups: dict[str, list[str]] = {}
     for term in terms:
         if term:
@@ -38,12 +44,19 @@ def lexicon_pattern(terms: Iterable[str]) -> str:
         f"{re.escape(c)}(?:{'|'.join(re.escape(rest) for rest in tails)})"
         for c, tails in groups.items()
     )
+    if cleaned and all(_in_word(t[0]) and _in_word(t[-1]) for t in terms if t):
+        return rf"(?iu)[ {KEPT_PUNCTUATION}](?=[{first}])(?:{branches})(?=[ {KEPT_PUNCTUATION}]|$)"
     return rf"(?iuU)\b(?=[{first}])(?:{branches})\b"
 
 
-def hit_count(text: Column, terms: Iterable[str]) -> Column:
-    """Non-overlapping hits, leftmost first."""
-    return F.regexp_count(text, F.lit(lexicon_pattern(terms)))
+def _in_word(char: str) -> bool:
+    return char == "_" or char.isalnum()
+
+
+def hit_count(text: Column, terms: Iterable[str], cleaned: bool = False) -> Column:
+    """Non-overlapping hits, leftmost first; see :func:`lexicon_pattern` for ``cleaned``."""
+    searched = F.concat(F.lit(" "), text) if cleaned else text
+    return F.regexp_count(searched, F.lit(lexicon_pattern(terms, cleaned)))
 
 
 def naive_sentiment(rating: Column) -> Column:
@@ -83,13 +96,16 @@ def detect_sentiment(positive: Column, negative: Column, rating: Column | None =
     )
 
 
-def lexicon_hits(df: DataFrame, lexicon: Lexicon, text_col: str = "clean_text") -> DataFrame:
+def lexicon_hits(
+    df: DataFrame, lexicon: Lexicon, text_col: str = "clean_text", cleaned: bool = False
+) -> DataFrame:
     """Add one hit count per aspect (``hits_0``, ``hits_1``, ...) and ``hits_positive``,
-    ``hits_negative``; each pattern runs once per row."""
+    ``hits_negative``; each pattern runs once per row. Set ``cleaned`` only for text that
+    came out of the cleaning chain."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    counts = {f"hits_{i}": hit_count(text, t) for i, t in enumerate(lexicon.aspects.values())}
-    counts["hits_positive"] = hit_count(text, lexicon.positive)
-    counts["hits_negative"] = hit_count(text, lexicon.negative)
+    lists = {f"hits_{i}": terms for i, terms in enumerate(lexicon.aspects.values())}
+    lists |= {"hits_positive": lexicon.positive, "hits_negative": lexicon.negative}
+    counts = {name: hit_count(text, terms, cleaned) for name, terms in lists.items()}
     return evaluate_once(df, counts)
 
 
@@ -98,12 +114,13 @@ def label_reviews(
     lexicon: Lexicon,
     text_col: str = "clean_text",
     rating_col: str | None = "rating",
+    cleaned: bool = False,
 ) -> DataFrame:
     """Add aspects, aspect_count, sentiment_rule, matched_keywords, is_multilabel.
 
-    ``rating_col=None`` labels from words alone.
+    ``rating_col=None`` labels from words alone; ``cleaned`` as in :func:`lexicon_hits`.
     """
-    counted = lexicon_hits(df, lexicon, text_col)
+    counted = lexicon_hits(df, lexicon, text_col, cleaned)
     hits = {a: F.col(f"hits_{i}") for i, a in enumerate(lexicon.aspects)}
     rating = F.col(rating_col) if rating_col and rating_col in df.columns else None
     helper = [c for c in counted.columns if c.startswith("hits_") and c not in df.columns]

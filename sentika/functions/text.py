@@ -37,6 +37,7 @@ URL = rf"(?:https?://|www\.)[^{SPACE}]+"
 MENTION = rf"[@#][{WORD}]+"
 REPEATED = r"(?d)(.)\1{2,}"
 REPEATED_PUNCTUATION = r"([!?.]){2,}"
+PUNCTUATION_PAIRS = [a + b for a in "!?." for b in "!?."]
 SPECIAL = rf"[^{WORD}{SPACE}{KEPT_PUNCTUATION}]"
 SENTENCE_END = r"[.!?]+"
 
@@ -94,7 +95,8 @@ def replace_special(text: Column) -> Column:
 
 
 def strip_space(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+$", "")
+    """Without white space at the ends: from the first other character to the last."""
+    return F.regexp_extract(text, rf"(?s)[^{SPACE}](?:.*[^{SPACE}])?", 0)
 
 
 def normalize_space(text: Column) -> Column:
@@ -214,7 +216,7 @@ def cleaning_steps(
         _guarded(lambda t: _has(t, "://", "www."), strip_urls),
         _guarded(lambda t: _has(t, "@", "#"), strip_mentions),
         collapse_repeats,
-        collapse_punctuation,
+        _guarded(lambda t: _has(t, *PUNCTUATION_PAIRS), collapse_punctuation),
     ]
     if lowercase:
         steps.append(F.lower)

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from sentika.functions.labels import sentiment_id, sentiment_score
 from sentika.functions.text import WORD, word_tokens, words
-from sentika.session import evaluate_once
+from sentika.session import broadcast_if_small, evaluate_once
 
 
 def replace_words_join(
@@ -19,25 +19,33 @@ def replace_words_join(
     """Dictionary lookup of every token for dictionaries too large for literals.
 
     ``table`` has ``term`` (lower case, unique) and ``replacement``; ``key`` must be
-    unique in ``df``. Spark broadcasts the dictionary when its size allows and else
-    joins by shuffle, where adaptive skew handling splits frequent tokens. Tokens
-    come back together per row, so a group is never larger than one text. Texts
-    without a token in the dictionary skip the regrouping.
+    unique in ``df``. The dictionary is broadcast after a check of its size and else
+    joined by shuffle, where adaptive skew handling splits frequent tokens. Only the
+    hits, not all tokens, are grouped back by row, so a group is never larger than
+    one text; the new text is put together from the runs of words between them.
     """
-    tokens = df.select(F.col(key), F.posexplode(words(F.coalesce(F.col(text_col), F.lit("")))).alias("pos", "word"))
-    found = tokens.join(
-        table.select(F.col("term").alias("__term"), F.col("replacement").alias("__new")),
-        F.lower("word") == F.col("__term"),
-        "left",
-    ).withColumn("word", F.when(F.col("__term").isNotNull(), F.coalesce("__new", F.lit(""))).otherwise(F.col("word")))
-    ordered = found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("__tokens"))
-    joined = ordered.select(
-        key,
-        F.array_join(
-            F.filter(F.transform("__tokens", lambda t: t["word"]), lambda w: F.trim(w) != ""), " "
-        ).alias(out_col),
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    tokens = df.select(key, F.posexplode(words(text)).alias("pos", "word"))
+    dictionary = table.select(
+        F.col("term").alias("__term"), F.coalesce("replacement", F.lit("")).alias("new")
     )
-    return df.join(joined, key, "left").withColumn(out_col, F.coalesce(out_col, F.lit("")))
+    found = tokens.join(broadcast_if_small(dictionary), F.lower("word") == F.col("__term"))
+    hits = found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "new"))).alias("__hits"))
+    split = evaluate_once(df.join(hits, key, "left"), {"__words": words(text)})
+    return split.withColumn(out_col, _patched(F.col("__words"), F.col("__hits"))).drop("__words", "__hits")
+
+
+def _patched(tokens: Column, hits: Column) -> Column:
+    """Words with the hits (sorted structs of pos and new) put in, empty ones dropped."""
+
+    def upto(hit: Column, i: Column) -> Column:
+        before = F.coalesce(F.get(hits, i - 1)["pos"], F.lit(-1))
+        return F.concat(F.slice(tokens, before + 2, hit["pos"] - before - 1), F.array(hit["new"]))
+
+    rest = F.slice(tokens, F.element_at(hits, -1)["pos"] + 2, F.size(tokens))
+    patched = F.concat(F.flatten(F.transform(hits, upto)), rest)
+    new = F.array_join(F.filter(patched, lambda w: F.trim(w) != ""), " ")
+    return F.when(hits.isNull(), F.array_join(tokens, " ")).otherwise(new)
 
 
 def lexicon_match_join(
@@ -58,7 +66,8 @@ def lexicon_match_join(
     runs = [_runs(F.col("__pieces"), n) for n in sorted(set(lengths))]
     distinct = F.array_distinct(F.concat(*runs)) if len(runs) > 1 else F.array_distinct(runs[0])
     grams = pieces.select(key, F.explode(distinct).alias("term"))
-    hits = grams.join(terms.select("term", F.col("label").alias("aspect")), "term")
+    lexicon = broadcast_if_small(terms.select("term", F.col("label").alias("aspect")))
+    hits = grams.join(lexicon, "term")
     return hits.select(key, "aspect").distinct()
 
 
@@ -73,11 +82,12 @@ def piece_count(term: str) -> int:
 
 
 def _runs(pieces: Column, n: int) -> Column:
+    """Every run of n neighbouring pieces, written together."""
     if n == 1:
         return pieces
-    last = F.size(pieces) - (n - 1)
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(pieces, i, F.lit(n)), ""))
+    shifted = [F.slice(pieces, i + 1, F.size(pieces)).alias(f"p{i}") for i in range(n)]
+    whole = F.slice(F.arrays_zip(*shifted), F.lit(1), F.greatest(F.size(pieces) - (n - 1), F.lit(0)))
+    return F.transform(whole, lambda run: F.concat(*[run[f"p{i}"] for i in range(n)]))
 
 
 def label_codes(df: DataFrame, sentiment_col: str = "sentiment_rule") -> DataFrame:

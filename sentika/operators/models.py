@@ -286,7 +286,7 @@ def score_reviews_rules(df: DataFrame, lexicon: Lexicon, text_col: str = "review
     """Scoring without a model: lexicon aspects, the words' sentiment for each of
     them (the general one included), confidence 0."""
     clean = clean_reviews(df, text_col, slang=lexicon.slang)
-    counted = lexicon_hits(clean, lexicon)
+    counted = lexicon_hits(clean, lexicon, cleaned=True)
     hits = {a: F.col(f"hits_{i}") for i, a in enumerate(lexicon.aspects)}
     mood = detect_sentiment(F.col("hits_positive"), F.col("hits_negative"))
     names = F.array(*[F.lit(a) for a in lexicon.aspects])

@@ -53,7 +53,10 @@ def gram_matrix(
 
 
 def standardize(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Zero mean and unit population deviation; a constant column is only centred."""
+    """Zero mean and unit population deviation; a constant column is only centred.
+
+    Reads the input twice, so pass a table or a checkpoint if it is costly to compute.
+    """
     stats = df.agg(
         *[F.avg(c).alias(f"m_{i}") for i, c in enumerate(features)],
         *[F.stddev_pop(c).alias(f"d_{i}") for i, c in enumerate(features)],

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from sentika.functions.text import strip_space
+from sentika.functions.text import SPACE, strip_space
 from sentika.schemas import ANNOTATION_BLANK, ANNOTATION_INPUT, SOURCE_COLUMNS
-from sentika.session import reliable_checkpoint
+from sentika.session import broadcast_if_small, reliable_checkpoint
 
 
 # ---- shape ------------------------------------------------------------------
@@ -49,8 +49,11 @@ def fill_defaults(df: DataFrame, values: dict[str, object]) -> DataFrame:
 # ---- filters ----------------------------------------------------------------
 
 def long_enough(text: Column, more_than: int = 5) -> Column:
-    """More than ``more_than`` characters are left after stripping white space."""
-    return F.length(strip_space(text)) > more_than
+    """More than ``more_than`` characters are left after stripping white space: that
+    many lie between, and including, two that are not white space."""
+    if more_than < 1:
+        return F.length(strip_space(text)) > more_than
+    return text.rlike(rf"(?s)[^{SPACE}].{{{more_than - 1},}}[^{SPACE}]")
 
 
 def filter_audit(df: DataFrame, conditions: dict[str, Column]) -> DataFrame:
@@ -102,7 +105,8 @@ def dense_ordinal(df: DataFrame, order: Sequence[str], name: str = "ordinal") ->
     A global window would sort everything in one task. Here rows are range
     partitioned and sorted, the partition numbering is pinned by a reliable
     checkpoint, and each row adds the size of the earlier partitions to its own
-    position. The offsets are one row per partition.
+    position. The offsets are one row per partition. The input is read twice, once to
+    sample the ranges, so pass a table or a checkpoint if it is costly to compute.
     """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = reliable_checkpoint(
@@ -215,7 +219,7 @@ def oversample_minority(df: DataFrame, label: str, key: str, seed: int = 42) ->
         .withColumn("__take", F.greatest(F.least(room, F.col("__n")), F.lit(0)))
         .select(label, "__bucket", "__whole", "__take", "__n")
     )
-    planned = tagged.join(plan, [label, "__bucket"])
+    planned = tagged.join(broadcast_if_small(plan), [label, "__bucket"])
     cut = (F.col("__take") > 0) & (F.col("__take") < F.col("__n"))
     within = Window.partitionBy(label, "__bucket").orderBy(hash_order(F.col(key), seed), key)
     whole = planned.where(~cut).withColumn("__extra", (F.col("__take") > 0).cast("int"))

@@ -25,7 +25,7 @@ from sentika.plans import jobs
 from sentika.plans import sample_views as V
 from sentika.plans.sample_views import ASPECTS, LEXICON
 from sentika.schemas import LANDING, RAW, columns
-from sentika.session import scratch_path, spread
+from sentika.session import reliable_checkpoint, scratch_path, spread
 from sentika.sources import files
 from sentika.streaming import streams as Z
 
@@ -248,7 +248,7 @@ def filter_audit(spark, sf):
 
 @query
 def slang_lookup(spark, sf):
-    return V.reviews(spark, sf).select(
+    return spread(V.reviews(spark, sf)).select(
         "review_id", X.normalize_slang(F.col("review_text"), LEXICON.slang).alias("normalized")
     )
 
@@ -256,7 +256,7 @@ def slang_lookup(spark, sf):
 @query
 def slang_lookup_join(spark, sf):
     slang = LEXICON.to_table(spark).where("kind = 'slang'")
-    rows = V.reviews(spark, sf).select("review_id", "review_text")
+    rows = spread(V.reviews(spark, sf).select("review_id", "review_text"))
     joined = J.replace_words_join(rows, slang, "review_id", "review_text", "normalized")
     return joined.select("review_id", "normalized")
 
@@ -396,7 +396,7 @@ def epoch_mean_loss(spark, sf):
 
 def _folded(spark, sf) -> DataFrame:
     rows = R.regression_table(V.labeled(spark, sf), ASPECTS, "doc_id")
-    return S.kfold_contiguous(rows, ["doc_id"])
+    return S.kfold_contiguous(reliable_checkpoint(rows), ["doc_id"])
 
 
 @query
@@ -435,7 +435,7 @@ def log_loss(spark, sf):
 
 def _annotated(spark, sf) -> DataFrame:
     """The stars-aware labels as one annotator, the words-only labels as the other."""
-    counted = L.lexicon_hits(jobs.clean_job(V.reviews(spark, sf), LEXICON), LEXICON)
+    counted = L.lexicon_hits(jobs.clean_job(V.reviews(spark, sf), LEXICON), LEXICON, cleaned=True)
     hits = {a: F.col(f"hits_{i}") for i, a in enumerate(ASPECTS)}
     words = F.col("hits_positive"), F.col("hits_negative")
     joined = L.join_aspects(L.detect_aspects(hits))
@@ -753,9 +753,7 @@ def argmax_class(spark, sf):
 # ---- models -----------------------------------------------------------------
 
 def _clusters(spark, sf) -> DataFrame:
-    texts = V.cleaned(spark, sf).select("doc_id", "clean_text")
-    vectors = V.table(spark, sf, "embeddings").withColumnRenamed("vec_id", "doc_id")
-    return ML.kmeans_topics(vectors.join(texts, "doc_id"))
+    return ML.kmeans_topics(V.table(spark, sf, "embeddings").withColumnRenamed("vec_id", "doc_id"))
 
 
 @query
@@ -765,7 +763,9 @@ def kmeans_topics(spark, sf):
 
 @query
 def kmeans_topic_terms(spark, sf):
-    counts = J.term_frequencies(_clusters(spark, sf), group_col="cluster_id")
+    clusters = _clusters(spark, sf).select("doc_id", "cluster_id")
+    texts = V.cleaned(spark, sf).join(clusters, "doc_id").select("cluster_id", "clean_text")
+    counts = J.term_frequencies(texts, group_col="cluster_id")
     return J.top_terms_per_group(counts, "cluster_id", 10)
 
 
@@ -845,7 +845,7 @@ def score_reviews_rules(spark, sf):
 def standardize(spark, sf):
     names = R.feature_names(ASPECTS)
     rows = R.regression_table(V.labeled(spark, sf), ASPECTS, "review_id").drop("rating")
-    return R.standardize(rows, names).select("review_id", *[F.round(c, 9).alias(c) for c in names])
+    return R.standardize(reliable_checkpoint(rows), names).select("review_id", *[F.round(c, 9).alias(c) for c in names])
 
 
 @query
@@ -895,7 +895,8 @@ def training_curves_table(spark, sf):
 @query
 def stream_score(spark, sf):
     documents = V.table(spark, sf, "documents")
-    stream = V.as_reviews(Z.read_table_stream(spark, f"{sf}/documents.parquet*", documents.schema))
+    cores = spark.sparkContext.defaultParallelism
+    stream = V.as_reviews(Z.read_table_stream(spark, f"{sf}/documents.parquet*", documents.schema, spread_over=cores))
     out = Z.run_available(Z.stream_score(stream, LEXICON), "stream-score")
     return _joined(spark.read.parquet(out))
 
@@ -912,7 +913,8 @@ def stream_dedup(spark, sf):
 @query
 def stream_aspect_counts(spark, sf):
     documents = V.table(spark, sf, "documents")
-    stream = V.as_reviews(Z.read_table_stream(spark, f"{sf}/documents.parquet*", documents.schema))
+    cores = spark.sparkContext.defaultParallelism
+    stream = V.as_reviews(Z.read_table_stream(spark, f"{sf}/documents.parquet*", documents.schema, spread_over=cores))
     counts = Z.stream_aspect_counts(Z.stream_score(stream, LEXICON), "review_date")
     flat = counts.select(F.col("window.start").alias("day"), "aspect", "sentiment", "n")
     out = Z.run_available(flat, "stream-counts", mode="update")

@@ -54,7 +54,7 @@ def clean_job(reviews: DataFrame, lexicon: Lexicon, min_words: int = 3) -> DataF
 
 def label_job(reviews: DataFrame, lexicon: Lexicon, min_words: int = 3) -> DataFrame:
     """Clean and label in one pass over the rows, without a shuffle."""
-    return label_reviews(clean_job(reviews, lexicon, min_words), lexicon)
+    return label_reviews(clean_job(reviews, lexicon, min_words), lexicon, cleaned=True)
 
 
 def sentiment_by_aspect(reviews: DataFrame, lexicon: Lexicon) -> DataFrame:

@@ -53,6 +53,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores)
 
 
+def broadcast_if_small(df: DataFrame, max_rows: int = 500_000, max_chars: int = 1 << 26) -> DataFrame:
+    """Mark a lookup side for broadcast after counting it, else leave it to be shuffled.
+
+    The count (an action on at most ``max_rows + 1`` rows) is needed because Spark
+    knows no size for tables made in the driver or by a checkpoint, and could then
+    broadcast the large side, whose size it underestimates once texts are exploded.
+    """
+    text = [F.length(f.name) for f in df.schema if f.dataType.typeName() == "string"]
+    chars = sum((F.coalesce(n, F.lit(0)) for n in text), F.lit(0))
+    size = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("rows"), F.sum(chars).alias("chars")).first()
+    if size.rows > max_rows or (size.chars or 0) > max_chars:
+        return df
+    return F.broadcast(df)
+
+
 def evaluate_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Add columns so that later filters on them reuse the computed value.
 

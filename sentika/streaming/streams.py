@@ -21,16 +21,18 @@ def read_json_stream(spark: SparkSession, path: str, schema: T.StructType, per_b
 
 
 def read_table_stream(
-    spark: SparkSession, path: str, schema: T.StructType, per_batch: int = 100
+    spark: SparkSession, path: str, schema: T.StructType, per_batch: int = 100, spread_over: int | None = None
 ) -> DataFrame:
     """Parquet table as a stream of its files; a pattern in the path lets a table be
-    a folder or a single file."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(path)
+    a folder or a single file. ``spread_over`` redistributes batches of few files."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(path)
+    return stream.repartition(spread_over) if spread_over else stream
 
 
 def stream_score(reviews: DataFrame, lexicon: Lexicon, rating_col: str | None = "rating") -> DataFrame:
     """Clean and label each arriving review; stateless, so append output suits."""
-    return label_reviews(clean_reviews(reviews, slang=lexicon.slang, stats=True), lexicon, rating_col=rating_col)
+    clean = clean_reviews(reviews, slang=lexicon.slang, stats=True)
+    return label_reviews(clean, lexicon, rating_col=rating_col, cleaned=True)
 
 
 def stream_dedup(
@@ -45,7 +47,7 @@ def stream_aspect_counts(
     labeled: DataFrame, time_col: str, window: str = "1 day", lateness: str = "1 day"
 ) -> DataFrame:
     """Reviews per time window, aspect and sentiment; rows later than the watermark
-    are dropped. Counted per label combination within each task before the shuffle."""
+    are dropped. Each task adds up its own counts before the shuffle."""
     return (
         labeled.withWatermark(time_col, lateness)
         .select(F.col(time_col), F.explode("aspects").alias("aspect"), F.col("sentiment_rule").alias("sentiment"))

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sentika.functions import labels as L
+from sentika.functions.text import clean_reviews
 from sentika.lexicons import Lexicon
 from sentika.lexicons.banking_id import banking_lexicon
 from sentika.lexicons.sample import sample_lexicon
@@ -80,10 +81,13 @@ def test_hits_equal_the_plain_alternation(spark, lexicon):
     def check(samples):
         texts = ["".join((w.upper() if up else w) + g for w, g, up in s) for s in samples]
         df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+        clean = clean_reviews(df, "t")
         columns = [L.hit_count(F.col("t"), ts).alias(f"h{i}") for i, ts in enumerate(lists)]
-        for row in df.select("t", *columns).collect():
+        columns += [L.hit_count(F.col("clean_text"), ts, cleaned=True).alias(f"c{i}") for i, ts in enumerate(lists)]
+        for row in clean.select("t", "clean_text", *columns).collect():
             for i, ts in enumerate(lists):
                 assert row[f"h{i}"] == len(plain_pattern(ts).findall(row.t)), (row.t, ts)
+                assert row[f"c{i}"] == len(plain_pattern(ts).findall(row.clean_text)), (row.clean_text, ts)
 
     check()
 
