@@ -76,11 +76,12 @@ def scan_reviews(spark, sf):
 
 @query
 def sink_table(spark, sf):
-    path = scratch_path(spark, "labeled-csv")
+    table, path = scratch_path(spark, "labeled"), scratch_path(spark, "labeled-csv")
     rows = V.labeled(spark, sf).select(
         "review_id", "clean_text", "aspects", "sentiment_rule", "matched_keywords", "is_multilabel"
     )
-    files.write_csv(rows, path)
+    files.write_table(rows, table)
+    files.write_csv(files.scan_reviews(spark, table), path)
     schema = columns(
         review_id="string",
         clean_text="string",
@@ -919,4 +920,5 @@ def stream_aspect_counts(spark, sf):
     flat = counts.select(F.col("window.start").alias("day"), "aspect", "sentiment", "n")
     out = Z.run_available(flat, "stream-counts", mode="update")
     latest = Z.latest_updates(spark, out, ["day", "aspect", "sentiment"], "n")
-    return latest.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    utc = F.to_utc_timestamp("day", F.current_timezone())
+    return latest.withColumn("day", F.date_format(utc, "yyyy-MM-dd"))

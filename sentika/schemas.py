@@ -53,23 +53,6 @@ RAW = columns(
     dev_reply_date="timestamp",
 )
 
-LABELED = (
-    columns(
-        review_id="string",
-        review_text="string",
-        clean_text="string",
-        rating="integer",
-        char_count="integer",
-        word_count="integer",
-        sent_count="integer",
-    )
-    .add("aspects", T.ArrayType(T.StringType()))
-    .add("aspect_count", "integer")
-    .add("sentiment_rule", "string")
-    .add("matched_keywords", T.MapType(T.StringType(), T.IntegerType()))
-    .add("is_multilabel", "boolean")
-)
-
 LEXICON = columns(kind="string", label="string", term="string", ord="integer", replacement="string")
 
 TRAINING_LOG = T.StructType().add(

@@ -102,6 +102,13 @@ def test_train_save_load_score(spark):
         assert all((r.confidence[a] >= 0.5) == (a in found) for a in V.ASPECTS if abs(r.confidence[a] - 0.5) > 1e-4)
 
 
+def test_kmeans_finds_separate_groups(spark):
+    rows = [(i, [float(i % 3 * 10 + i / 1000), float(i % 3)]) for i in range(90)]
+    found = ML.kmeans_topics(spark.createDataFrame(rows, "id int, embedding array<double>"), k=3).collect()
+    groups = {(r.id % 3, r.cluster_id) for r in found}
+    assert len(groups) == 3 and len({c for _, c in groups}) == 3
+
+
 def test_streams_equal_batch(spark):
     documents = V.table(spark, SF, "documents")
     folder = scratch_path(spark, "stream-in")

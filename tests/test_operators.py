@@ -81,6 +81,20 @@ def test_stratified_sample_sizes(spark, labeled):
     assert len({r.review_id for r in sample}) == len(sample)
 
 
+def test_samples_are_the_first_rows_in_hash_order(spark):
+    import hashlib
+
+    rows = [(str(i), i % 3 if i % 7 else 0) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, g int").repartition(11)
+    digest = lambda k: hashlib.md5(f"42:{k}".encode()).hexdigest()
+    order = sorted(rows, key=lambda r: digest(r[0]))
+    for n in (1, 7, 200, 2999, 3000, 9000):
+        assert [r.k for r in S.random_sample(df, n, "k").collect()] == [k for k, _ in order[:n]]
+    want = {k for g in range(3) for k in [k for k, h in order if h == g][:20]}
+    assert {r.k for r in S.stratified_sample(df, 60, "g", "k", groups=3).collect()} == want
+    assert S.random_sample(df.where("false"), 5, "k").count() == 0
+
+
 def test_random_sample_is_reproducible(spark):
     df = spark.range(1000).select(F.col("id").cast("string").alias("k"))
     one = [r.k for r in S.random_sample(df, 50, "k").collect()]
