@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sentika.session import reliable_checkpoint
+
 
 def long_labels(
     df: DataFrame, aspects: Sequence[str], true: tuple[str, str], pred: tuple[str, str], *keep: str
@@ -40,11 +42,26 @@ def _f1(tp: Column, support: Column, predicted: Column) -> Column:
     return F.coalesce(2.0 * tp / F.nullif(support + predicted, F.lit(0)), F.lit(0.0))
 
 
+def outcome_counts(long: DataFrame) -> DataFrame:
+    """Rows of the long table per combination of outcomes, as ``n``: a few dozen rows
+    per aspect. Every metric accepts them in place of the long table."""
+    keys = "aspect", "aspect_true", "aspect_pred", "sentiment_true", "sentiment_pred"
+    return long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _weight(long: DataFrame) -> Column:
+    return F.col("n") if "n" in long.columns else F.lit(1)
+
+
 def aspect_f1(long: DataFrame) -> DataFrame:
     """Binary F1 of each aspect."""
     t, p = F.col("aspect_true") == 1, F.col("aspect_pred") == 1
+    n = _weight(long)
     sums = long.groupBy("aspect").agg(
-        F.count_if(t & p).alias("tp"), F.count_if(~t & p).alias("fp"), F.count_if(t & ~p).alias("fn")
+        *[
+            F.sum(F.when(cell, n).otherwise(0)).cast("bigint").alias(name)
+            for name, cell in (("tp", t & p), ("fp", ~t & p), ("fn", t & ~p))
+        ]
     )
     return sums.withColumn("f1", _f1(F.col("tp"), F.col("tp") + F.col("fn"), F.col("tp") + F.col("fp")))
 
@@ -58,7 +75,7 @@ def sentiment_confusion(long: DataFrame) -> DataFrame:
     return (
         long.where("sentiment_true <> -1")
         .groupBy("aspect", "sentiment_true", "sentiment_pred")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum(_weight(long)).cast("bigint").alias("n"))
     )
 
 
@@ -107,7 +124,9 @@ def sentiment_f1_per_aspect(long: DataFrame) -> DataFrame:
 
 def combined_f1(long: DataFrame) -> DataFrame:
     """Aspect macro F1, the mean of the per-aspect sentiment F1 rounded to four
-    digits, and the mean of both."""
+    digits, and the mean of both. The outcome counts are written once (a job), as both
+    sides need them and a filter of one side would else recompute the long table."""
+    long = long if "n" in long.columns else reliable_checkpoint(outcome_counts(long))
     mood = sentiment_f1_per_aspect(long).select(
         F.lit(None).cast("double").alias("a"), F.round("sentiment_f1", 4).alias("s")
     )

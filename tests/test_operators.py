@@ -253,6 +253,7 @@ def test_f1_scores_equal_python(spark, predictions):
     got = {r.aspect: r.sentiment_f1 for r in M.sentiment_f1_per_aspect(df).collect()}
     assert got == {a: pytest.approx(v) for a, v in mood.items()}
     both = M.combined_f1(df).first()
+    assert M.combined_f1(M.outcome_counts(df)).first() == both
     assert both.sentiment_f1_avg == pytest.approx(np.mean([round(v, 4) for v in mood.values()]))
     assert both.combined_f1 == pytest.approx((both.aspect_f1_macro + both.sentiment_f1_avg) / 2)
 
