@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentika.llm import decontamination, sharding, token_counts
+from sentika.llm import decontamination, mixing, secrets, sharding, token_counts, warc
 from sentika.llm.common import table
+from sentika.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,11 +43,47 @@ def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, scanned once for each distinct text."""
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    spans = secrets.spans_text()
+    return found.select(
+        "doc_id",
+        *[secrets.count_of(r.kind).alias(f"n_{r.kind}") for r in secrets.RULES],
+        F.sha2(spans.cast("binary"), 256).alias("base_sha256"),
+        spans.alias("spans"),
+    )
+
+
+def op6_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to segmented archives and read back from them."""
+    path = scratch_path(spark, "archives")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    index = warc.archive_index(warc.read_archives(spark, path))
+    return index.select(
+        F.col("page").cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
+def op8_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is taken to reach the weights with half of all tokens."""
+    docs = table(spark, sf_dir, "documents").withColumn("domain", mixing.domain_of())
+    mixed = mixing.mix(docs, mixing.LEVELS, mixing.WEIGHTS, budget_share=0.5, max_epochs=4, seed=1)
+    return mixed.select("doc_id", *mixing.LEVELS, "tokens", "budget", "copies")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_token_counts,
         op2_decontamination,
         op3_virtual_slots,
+        op5_blob_ledger,
+        op6_warc_segments,
+        op8_hierarchical_mixing,
     )
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from sentika.llm import mixing
+
 LOWER = "translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = "regexp_extract_all(" + LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -29,5 +31,95 @@ FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
 """
 
 
+_DIGIT = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (('0x' || substr(h, {at}, 5))::BIGINT >> {shift}) % 32 AS INTEGER), 1)"
+BASE32 = " || ".join(_DIGIT.format(at=1 + 5 * k, shift=15 - 5 * j) for k in range(8) for j in range(4))
+
+OP6 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS payload_bytes, {BASE32} AS payload_digest
+      FROM (SELECT page_id, html, sha1(html) AS h FROM p)),
+f AS (SELECT payload_digest, min(page_id) AS first FROM d GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d JOIN f USING (payload_digest)
+"""
+
+
+def _fill(name: str, source: str, above: list[str], level: str) -> str:
+    """Common table expressions that split ``given`` over the children of each node."""
+    part = f"PARTITION BY {', '.join(above)}" if above else ""
+    order = f"{part} ORDER BY cap / weight, {level} NULLS FIRST"
+    keys = ", ".join([*above, level])
+    return f"""
+{name}_r AS (
+  SELECT *, weight > 0 AND CAST(cap AS HUGEINT) * sum(weight) OVER (ORDER_ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+    <= (given - coalesce(sum(cap) OVER (ORDER_ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * weight AS is_full
+  FROM {source}
+),
+{name}_s AS (
+  SELECT *, coalesce(sum(CASE WHEN is_full THEN cap END) OVER ({part}), 0) AS used,
+         sum(CASE WHEN NOT is_full THEN weight END) OVER ({part}) AS open_weight FROM {name}_r
+),
+{name} AS (
+  SELECT {keys}, CAST(CASE WHEN is_full THEN cap WHEN weight > 0
+    THEN least(cap, CAST((given - used) AS HUGEINT) * weight // open_weight) ELSE 0 END AS BIGINT) AS budget FROM {name}_s
+)""".replace("ORDER_ROWS", order + " ROWS")
+
+
+def _same(a: str, b: str, keys: list[str]) -> str:
+    return " AND ".join(f"{a}.{k} IS NOT DISTINCT FROM {b}.{k}" for k in keys)
+
+
+def _weight(level: str) -> str:
+    cases = " ".join(f"WHEN '{v}' THEN {w}" for v, w in mixing.WEIGHTS[level].items())
+    return f"CASE {level} {cases} ELSE 1 END"
+
+
+def _mixing(share: float, epochs: int, seed: int) -> str:
+    levels = list(mixing.LEVELS)
+    steps = []
+    for k, level in enumerate(levels):
+        own, above = levels[: k + 1], levels[:k]
+        given = f"JOIN b{k - 1} ON {_same('n', f'b{k - 1}', above)}" if above else ", (SELECT CAST(floor(sum(tokens) * %s) AS BIGINT) AS budget FROM leaves) AS root" % share
+        budget = f"b{k - 1}.budget" if above else "root.budget"
+        cols = ", ".join(own)
+        steps.append(
+            f"n{k} AS (SELECT n.*, {budget} AS given FROM (SELECT {cols}, CAST(sum(tokens) * {epochs} AS BIGINT) AS cap, "
+            f"{_weight(level)} AS weight FROM leaves GROUP BY {cols}) AS n {given})"
+        )
+        steps.append(_fill(f"b{k}", f"n{k}", above, level))
+    keys = ", ".join(levels)
+    last = f"b{len(levels) - 1}"
+    return f"""
+WITH d AS (
+  SELECT doc_id, lang, source,
+    CASE WHEN regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1) = '' THEN 'none'
+         ELSE 'd' || (regexp_extract(source, '([0-9]{{1,9}})$', 1)::BIGINT % 4) END AS domain,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS tokens
+  FROM documents
+),
+leaves AS (SELECT {keys}, CAST(sum(tokens) AS BIGINT) AS tokens FROM d GROUP BY {keys}),
+{", ".join(steps)},
+plan AS (
+  SELECT l.*, b.budget, CASE WHEN l.tokens > 0 THEN b.budget // l.tokens ELSE 0 END AS epochs,
+         CASE WHEN l.tokens > 0 THEN b.budget % l.tokens ELSE 0 END AS rest
+  FROM leaves AS l JOIN {last} AS b ON {_same("l", "b", levels)}
+),
+h AS (
+  SELECT d.*, p.budget, p.epochs, p.rest,
+         ('0x' || substr(md5('{seed}:' || p.epochs || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS h
+  FROM d JOIN plan AS p ON {_same("d", "p", levels)}
+),
+c AS (SELECT *, sum(tokens) OVER (PARTITION BY {keys} ORDER BY h) AS upto FROM h)
+SELECT doc_id, {keys}, tokens, budget, CAST(epochs + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS INTEGER) AS copies
+FROM c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2}
+    return {
+        "op2_decontamination": OP2,
+        "op6_warc_segments": OP6,
+        "op8_hierarchical_mixing": _mixing(0.5, 4, 1),
+    }
