@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentika.llm import decontamination, mixing, secrets, sharding, token_counts, warc
+from sentika.llm import decontamination, mixing, secrets, sharding, token_counts, toxicity, warc
 from sentika.llm.common import table
 from sentika.session import scratch_path
 
@@ -69,6 +69,19 @@ def op6_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from two thirds of the labels."""
+    docs = table(spark, sf_dir, "documents")
+    tagger = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, tagger).select(
+        "doc_id",
+        toxicity.held_out().alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
+        F.size("spans").alias("n_spans"),
+    )
+
+
 def op8_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each document is taken to reach the weights with half of all tokens."""
     docs = table(spark, sf_dir, "documents").withColumn("domain", mixing.domain_of())
@@ -84,6 +97,7 @@ QUERIES: dict[str, Query] = {
         op3_virtual_slots,
         op5_blob_ledger,
         op6_warc_segments,
+        op7_toxic_spans,
         op8_hierarchical_mixing,
     )
 }

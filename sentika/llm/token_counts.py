@@ -36,7 +36,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: texts with others are cut by the library itself.
 AGREED = 0x250
 _BEYOND = re.compile(f"[^\0-{chr(AGREED - 1)}]")
-BLOCKS = "block string, ids array<long>, n_bytes array<long>, tokens array<string>, lengths binary, refs binary, times binary"
+BLOCKS = "block long, ids array<long>, n_bytes array<long>, tokens array<string>, lengths binary, refs binary, times binary"
 
 
 @lru_cache(maxsize=2)
@@ -98,7 +98,7 @@ def _blocks(path: str, max_bytes: int):
             flat = [np.concatenate(x).astype(np.int32) for x in ([np.array(lengths)], refs, times)]
             yield pa.record_batch(
                 {
-                    "block": [uuid.uuid4().hex],
+                    "block": pa.array([uuid.uuid4().int >> 65], pa.int64()),  # files hold one attempt's number
                     "ids": pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())),
                     "n_bytes": pa.array([[len(b) for b in texts]], pa.list_(pa.int64())),
                     "tokens": pa.array([list(at)], pa.list_(pa.string())),
@@ -139,7 +139,7 @@ def _encode_once(path: str):
             parts = np.split(order, ends[:-1])
             yield pa.record_batch(
                 {
-                    "block": block.dictionary.cast(pa.string()),
+                    "block": block.dictionary,
                     "at": pa.array([_packed(np.diff(at[p], prepend=0)) for p in parts], pa.binary()),
                     "pieces": pa.array([_packed(each[p]) for p in parts], pa.binary()),
                 }
@@ -189,7 +189,7 @@ def token_counts(
     sized = (
         listed.repartition("token")
         .sortWithinPartitions("token")
-        .mapInArrow(_encode_once(tokenizer_path), "block string, at binary, pieces binary")
+        .mapInArrow(_encode_once(tokenizer_path), "block long, at binary, pieces binary")
     )
     # one list for each block, as long as the block's own vocabulary
     back = sized.groupBy("block").agg(F.collect_list(F.struct("at", "pieces")).alias("parts"))
