@@ -93,7 +93,7 @@ def cue_table(train: DataFrame, n_toxic: int, n_clean: int) -> dict[bytes, float
     scored = counts.withColumns(
         {"log_odds": odds, "g2": 2 * (term(F.col("a"), expected) + term(F.col("b"), F.col("n") - expected))}
     )
-    least = max(MIN_G2, 2 * math.log(max(counts.count(), 1)))
+    least = max(MIN_G2, 2.5 * math.log(max(counts.count(), 1)))
     kept = scored.where((F.col("log_odds") >= MIN_LOG_ODDS) & (F.col("g2") >= least))
     best = kept.orderBy(F.desc("g2"), "feature").limit(MAX_CUES).select("feature", "log_odds")
     return {bytes(r.feature): r.log_odds for r in best.collect()}
@@ -241,7 +241,7 @@ def _tagger_of(cues: dict[bytes, float], theta: np.ndarray) -> Tagger:
     return Tagger(cues, float(theta[0]), own, near, stay, change)
 
 
-def fit_field(cues: dict[bytes, float], texts: list[tuple[int, tuple, int]], rounds: int = 40) -> Tagger:
+def fit_field(cues: dict[bytes, float], texts: list[tuple[int, tuple, int]], rounds: int = 30) -> Tagger:
     """Weights that make the labelled tokens likeliest, by gradient ascent with a small penalty.
 
     ``texts`` holds each chain's length, listed positions and label. Tokens are labelled toxic
@@ -285,8 +285,9 @@ def fit_document(x: np.ndarray, y: np.ndarray, rounds: int = 25, penalty: float
     return tuple(map(float, w))
 
 
-#: Chains of the training sample that the field's few weights are fitted on.
-MAX_CHAINS = 3000
+#: Chains of the training sample that the field's few weights are fitted on: so many at most, of
+#: those with so many listed positions at most. Cues and document model use the whole sample.
+MAX_CHAINS, MAX_LISTED = 3000, 64
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_TRAIN_ROWS) -> Tagger:
@@ -318,7 +319,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         (r.n, (np.array(r["at"], np.int64), np.array(r.strength, np.int64), np.array(r.near, bool)), r.label) for r in rows
     ]
     texts_.sort(key=lambda t: (zlib.crc32(repr((t[0], t[1][0].tolist())).encode()), t[0], t[2]))
-    tagger = fit_field(cues, [t for t in texts_ if t[0]][:MAX_CHAINS])
+    tagger = fit_field(cues, [t for t in texts_ if t[0] and len(t[1][0]) <= MAX_LISTED][:MAX_CHAINS])
     x = np.array([_seen(tagger, n, *where) for n, where, _ in texts_])
     tagger.document = fit_document(x, np.array([label for _, _, label in texts_], float))
     return tagger
