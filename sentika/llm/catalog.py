@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentika.llm import decontamination, mixing, secrets, sharding, token_counts, toxicity, warc
+from sentika.llm import decontamination, mixing, near_dedup, secrets, sharding, token_counts, toxicity, warc
 from sentika.llm.common import table
 from sentika.session import scratch_path
 
@@ -43,6 +43,11 @@ def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate group of every document."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document, scanned once for each distinct text."""
     found = secrets.scan(table(spark, sf_dir, "documents"))
@@ -95,6 +100,7 @@ QUERIES: dict[str, Query] = {
         op1_token_counts,
         op2_decontamination,
         op3_virtual_slots,
+        op4_circulant_minhash,
         op5_blob_ledger,
         op6_warc_segments,
         op7_toxic_spans,
