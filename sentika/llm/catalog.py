@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentika.llm import decontamination, mixing, near_dedup, secrets, sharding, token_counts, toxicity, warc
+from sentika.llm import decontamination, mixing, near_dedup, secrets, sharding, substring_dedup, token_counts, toxicity, warc
 from sentika.llm.common import table
 from sentika.session import scratch_path
 
@@ -94,6 +94,19 @@ def op8_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", *mixing.LEVELS, "tokens", "budget", "copies")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without repeated strings of 400 bytes."""
+    left = substring_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return left.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -105,5 +118,6 @@ QUERIES: dict[str, Query] = {
         op6_warc_segments,
         op7_toxic_spans,
         op8_hierarchical_mixing,
+        op10_suffix_dedup,
     )
 }
