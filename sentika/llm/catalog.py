@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentika.llm import decontamination, mixing, near_dedup, secrets, sharding, substring_dedup, token_counts, toxicity, warc
+from sentika.llm import decontamination, mixing, near_dedup, secrets, sharding, substring_dedup, token_counts, toxicity, vector_search, warc
 from sentika.llm.common import table
 from sentika.session import scratch_path
 
@@ -94,6 +94,11 @@ def op8_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", *mixing.LEVELS, "tokens", "budget", "copies")
 
 
+def op9_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of one in a hundred."""
+    return vector_search.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without repeated strings of 400 bytes."""
     left = substring_dedup.without_repeats(table(spark, sf_dir, "documents"))
@@ -118,6 +123,7 @@ QUERIES: dict[str, Query] = {
         op6_warc_segments,
         op7_toxic_spans,
         op8_hierarchical_mixing,
+        op9_kmeans_tree,
         op10_suffix_dedup,
     )
 }
