@@ -2,7 +2,7 @@
 
 Every stage is ``(name, function)``; a function takes the session, the documents its
 predecessor kept and the folder of tables, and returns a DataFrame, which is written and read
-again before the next stage.
+again before the next stage. All stages but the last return the columns of ``documents``.
 """
 
 from __future__ import annotations
@@ -11,8 +11,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sentika.llm import decontamination, sharding
-from sentika.llm.common import table, written
+from sentika.llm import decontamination, mixing, near_dedup, sharding, toxicity
+from sentika.llm.common import ship, table, written
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the tagger, learned from two thirds of the labels, does not reject."""
+    tagger = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.without_toxic(docs, tagger)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group."""
+    ship(spark)
+    return near_dedup.deduplicated(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,13 +32,26 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the weights of domains, languages and sources ask for.
+
+    A quarter more tokens than there are, and two epochs at most: branches below their weight
+    repeat documents, branches above it lose some.
+    """
+    taken = mixing.mix(docs.withColumn("domain", mixing.domain_of()), mixing.LEVELS, mixing.WEIGHTS, 1.25, 2)
+    return mixing.repeated(taken).select(*docs.columns)
+
+
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Shard and place of every document, with its columns."""
-    return sharding.shard_documents(docs).drop("grown_shard")
+    return sharding.shard_documents(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", clean),
+    ("near_dedup", distinct),
     ("decontamination", decontaminated),
+    ("mixing", mixed),
     ("sharding", sharded),
 ]
 
