@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sentika.llm import decontamination, mixing, near_dedup, sharding, toxicity
 from sentika.llm.common import ship, table, written
@@ -38,8 +39,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A quarter more tokens than there are, and two epochs at most: branches below their weight
     repeat documents, branches above it lose some.
     """
-    taken = mixing.mix(docs.withColumn("domain", mixing.domain_of()), mixing.LEVELS, mixing.WEIGHTS, 1.25, 2)
-    return mixing.repeated(taken).select(*docs.columns)
+    # the row is carried whole, so that no column of its own is replaced
+    packed = docs.select(F.struct("*").alias("_row"), "doc_id", "text", "lang", "source", mixing.domain_of().alias("domain"))
+    taken = mixing.mix(packed, mixing.LEVELS, mixing.WEIGHTS, budget_share=1.25, max_epochs=2)
+    return mixing.repeated(taken).select("_row.*")
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
