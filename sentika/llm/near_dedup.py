@@ -247,11 +247,13 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     copies = named.groupBy("id", "text_key").agg(F.count(F.lit(1)).alias("copies"))
     same = F.expr("n.id <=> k.k.id AND n.text_key = k.k.text_key")
     chosen = written(copies.alias("n").join(chosen.alias("k"), same).select("n.id", "n.text_key", "copies"), "kept-rows")
-    keyed = docs.withColumns({"_id": F.col(id_col).cast("long"), "_text_key": F.xxhash64(text_col)})
+    # rows are carried whole, so that names of their columns do not matter
     blank = F.coalesce(F.length(F.translate(text_col, " \t\n\x0b\f\r", "")), F.lit(0)) == 0
-    match = F.expr("_id <=> id_k AND _text_key = key_k")
-    taken = chosen.select(F.col("id").alias("id_k"), F.col("text_key").alias("key_k"), "copies")
-    found = keyed.where(~blank).join(taken.withColumnsRenamed({"copies": "_copies"}), match).drop("id_k", "key_k")
+    keyed = docs.select(
+        F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_key"), blank.alias("blank")
+    )
+    same = F.expr("d.id <=> k.id AND d.text_key = k.text_key")
+    found = keyed.where("NOT blank").alias("d").join(chosen.alias("k"), same).select("d.*", "k.copies")
     # rows equal in id and text all match: one of them is taken
-    once = found.where("_copies = 1").unionByName(found.where("_copies > 1").dropDuplicates(["_id", "_text_key"]))
-    return once.drop("_copies").unionByName(keyed.where(blank)).drop("_id", "_text_key")
+    once = found.where("copies = 1").unionByName(found.where("copies > 1").dropDuplicates(["id", "text_key"]))
+    return once.select("row.*").unionByName(keyed.where("blank").select("row.*"))

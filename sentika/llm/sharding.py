@@ -69,8 +69,8 @@ def rebalance(old: DataFrame, sizes: DataFrame, n_shards: int, n_slots: int = N_
     """Next version for the bytes of now and for more shards, moving few slots.
 
     As long as it brings the fullest and the emptiest shard nearer to each other, the largest slot of
-    the fullest shard that fits moves to the emptiest. All other slots stay where they are.
-    ``n_shards`` must not be below the shards in use.
+    the fullest shard that fits moves to the emptiest; new shards alone take slots where there are
+    any. All other slots stay where they are. ``n_shards`` must not be below the shards in use.
     """
     before = {r.vslot: (r.version, r.shard) for r in old.collect()}
     by_slot = _collected(sizes, n_slots)
@@ -82,8 +82,9 @@ def rebalance(old: DataFrame, sizes: DataFrame, n_shards: int, n_slots: int = N_
     for v, s in shard_of.items():
         load[s] += by_slot[v][0]
         held[s].append((by_slot[v][0], v))
+    takers = [s for s in load if s not in set(shard_of.values())] or list(load)
     while True:
-        full, empty = max(load, key=lambda s: (load[s], -s)), min(load, key=lambda s: (load[s], s))
+        full, empty = max(load, key=lambda s: (load[s], -s)), min(takers, key=lambda s: (load[s], s))
         gap = load[full] - load[empty]
         fits = [x for x in held[full] if 0 < x[0] < gap]
         if not fits:
