@@ -22,15 +22,19 @@ ALNUM_LOWER = bytes(
 )
 
 
+#: Bytes of an Arrow batch sent to a Python worker; a longer row makes a batch of its own.
+BATCH_BYTES = 4 << 20
 _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for each application.
+    """Send this package to the Python workers, once for each application, and bound their batches.
 
     Functions that run on executors are imported there by name, wherever the driver was started.
+    Batches end at ``BATCH_BYTES``, so that a worker's memory does not follow the length of texts.
     """
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     if sc.applicationId in _SHIPPED:
         return
     top = Path(__file__).resolve().parents[1]
