@@ -11,12 +11,16 @@ words and white space of the cleaning contract.
 
 from __future__ import annotations
 
+import unicodedata
+import warnings
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import ArrowUDFType
 
-from sentika.session import evaluate_once
+from sentika.session import broadcast_if_small, evaluate_once
 
 # Character sets, patterns and emoji ranges of the cleaning contract.
 WORD = r"\p{L}\p{N}_"
@@ -41,8 +45,9 @@ PUNCTUATION_PAIRS = [a + b for a in "!?." for b in "!?."]
 SPECIAL = rf"[^{WORD}{SPACE}{KEPT_PUNCTUATION}]"
 SENTENCE_END = r"[.!?]+"
 
-# Above this many entries a dictionary is joined instead of inlined as literals.
-MAX_INLINE_TERMS = 1000
+
+# Parts a frequent word is dealt over where a large dictionary is joined.
+SALTS = 16
 
 
 # ---- single rules ---------------------------------------------------------
@@ -52,16 +57,46 @@ def blank_to_empty(text: Column) -> Column:
     return F.when(F.coalesce(text, F.lit("")).rlike(rf"[^{SPACE}]"), text).otherwise(F.lit(""))
 
 
+@lru_cache(maxsize=1)
+def not_composed() -> str:
+    """Character class of all that composition (NFC) may change: combining marks, the
+    vowels and final consonants of Hangul, and characters with another canonical form."""
+    points = [
+        c
+        for c in range(0x80, 0x110000)
+        if not 0xAC00 <= c < 0xD7A4
+        and not 0xD800 <= c < 0xE000
+        and (unicodedata.combining(chr(c)) or unicodedata.category(chr(c))[0] == "M" or unicodedata.normalize("NFC", chr(c)) != chr(c))
+    ]
+    points = sorted({*points, *range(0x1161, 0x1176), *range(0x11A8, 0x11C3)})
+    starts = [c for c, before in zip(points, [-1, *points], strict=False) if c != before + 1]
+    ends = [c for c, after in zip(points, [*points[1:], -1], strict=True) if after != c + 1]
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, ends, strict=True)) + "]"
+
+
+def _composer():
+    """Arrow function for the texts that need composing; workers need nothing but it."""
+
+    def compose(texts):
+        import unicodedata
+
+        import pyarrow
+
+        return pyarrow.array([None if t is None else unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pyarrow.string())
+
+    with warnings.catch_warnings():  # type hints would tie the function to this module
+        warnings.simplefilter("ignore", UserWarning)
+        return F.arrow_udf(compose, "string", ArrowUDFType.SCALAR)
+
+
 def normalize_unicode(text: Column) -> Column:
-    """Canonical composition (NFC), on the JVM, only where a byte is not ASCII."""
-    composed = F.call_function(
-        "reflect",
-        F.lit("com.ibm.icu.text.Normalizer"),
-        F.lit("compose"),
-        text,
-        F.lit(False),
-    )
-    return F.when(_is_ascii(text), text).otherwise(composed)
+    """Canonical composition (NFC).
+
+    Only texts with a character that composition may change are sent to a Python worker;
+    the function is deterministic, so filters pass it on their way to the scan.
+    """
+    odd = F.when(~_is_ascii(text) & text.rlike(not_composed()), text)
+    return F.coalesce(_composer()(odd), text)
 
 
 def strip_html(text: Column) -> Column:
@@ -124,13 +159,12 @@ def replace_words(tokens: Column, mapping: dict[str, str], lowered: bool = False
 
     The membership test is a hash-set probe, so the linear search of a map
     literal is paid only by tokens that are in the dictionary. ``lowered`` says
-    that the tokens are in lower case already.
+    that the tokens are in lower case already. The entries become literals of the
+    plan; a dictionary kept as a table is joined by :func:`replace_words_join`.
     """
     usable = {k: v for k, v in mapping.items() if k == k.lower()}
     if not usable:
         return tokens
-    if len(usable) > MAX_INLINE_TERMS:
-        raise ValueError("dictionary too large to inline; use operators.lookups.replace_words_join")
     table = F.create_map(*[F.lit(x) for pair in usable.items() for x in pair])
     keys = list(usable)
 
@@ -149,6 +183,39 @@ def normalize_slang(text: Column, slang: dict[str, str], lowered: bool = False)
     return F.array_join(F.filter(tokens, lambda w: w != ""), " ")
 
 
+def replace_words_join(
+    df: DataFrame, table: DataFrame, key: str, text_col: str, out_col: str
+) -> DataFrame:
+    """Dictionary lookup of every token, the dictionary being a table of any size.
+
+    ``table`` has ``term`` (lower case, unique) and ``replacement``; ``key`` must be
+    unique in ``df``. The result is that of :func:`normalize_slang` with the same
+    entries. Each row sends its distinct words once and gets back those that are in the
+    dictionary, which is broadcast after a check of its size. Beyond that it is joined
+    by shuffle, and frequent words are dealt over ``SALTS`` parts of a key.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    each = F.array_distinct(F.transform(words(text), lambda w: F.lower(w)))
+    asked = df.select(key, F.explode(each).alias("__term"))
+    dictionary = table.where(F.col("term") == F.lower("term")).select(
+        F.col("term").alias("__term"), normalize_space(F.coalesce("replacement", F.lit(""))).alias("__new")
+    )
+    small = broadcast_if_small(dictionary)
+    if small is dictionary:
+        asked = asked.withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+        small = dictionary.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = asked.join(small, ["__term", "__salt"])
+    else:
+        found = asked.join(small, "__term")
+    entries = found.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("__term", "__new"))).alias("__found"))
+    joined = df.join(entries, key, "left")
+    put = F.transform(words(text), lambda w: F.coalesce(F.try_element_at("__found", F.lower(w)), w))
+    new = F.when(F.col("__found").isNull(), F.array_join(words(text), " ")).otherwise(
+        F.array_join(F.filter(put, lambda w: w != ""), " ")
+    )
+    return joined.withColumn(out_col, new).drop("__found")
+
+
 # ---- text statistics --------------------------------------------------------
 
 def char_count(text: Column) -> Column:
@@ -204,12 +271,13 @@ def _one_space(mapping: dict[str, str]) -> dict[str, str]:
 
 
 def cleaning_steps(
-    slang: dict[str, str] | None = None,
-    stems: dict[str, str] | None = None,
+    slang: dict[str, str] | DataFrame | None = None,
+    stems: dict[str, str] | DataFrame | None = None,
     lowercase: bool = True,
-) -> list[Callable[[Column], Column]]:
-    """The chain in its fixed order, each rule guarded where a cheap test exists."""
-    steps: list[Callable[[Column], Column]] = [
+) -> list[Callable[[Column], Column] | DataFrame]:
+    """The chain in its fixed order, each rule guarded where a cheap test exists; a
+    dictionary given as a table stands for its lookup."""
+    steps: list[Callable[[Column], Column] | DataFrame] = [
         normalize_unicode,
         _guarded(lambda t: _has(t, "<") & _has(t, ">"), strip_html),
         _guarded(lambda t: ~_is_ascii(t) & t.rlike(r"[\x{200d}-\x{10ffff}]"), strip_emoji),
@@ -220,9 +288,14 @@ def cleaning_steps(
     ]
     if lowercase:
         steps.append(F.lower)
-    steps.append(lambda t: normalize_slang(t, _one_space(slang or {}), lowered=lowercase))
+    if isinstance(slang, DataFrame):
+        steps.append(slang)
+    else:
+        steps.append(lambda t: normalize_slang(t, _one_space(slang or {}), lowered=lowercase))
     steps.append(_tidy)
-    if stems:
+    if isinstance(stems, DataFrame):
+        steps.append(stems)
+    elif stems:
         steps.append(lambda t: normalize_slang(t, _one_space(stems)))
     return steps
 
@@ -231,21 +304,27 @@ def clean_reviews(
     df: DataFrame,
     text_col: str = "review_text",
     out_col: str = "clean_text",
-    slang: dict[str, str] | None = None,
-    stems: dict[str, str] | None = None,
+    slang: dict[str, str] | DataFrame | None = None,
+    stems: dict[str, str] | DataFrame | None = None,
     lowercase: bool = True,
     stats: bool = False,
+    key: str = "review_id",
 ) -> DataFrame:
     """Run the whole cleaning chain; ``stats`` adds the three text counts.
 
     ``stems`` is the statistics profile: a token-to-stem table applied to the
-    cleaned words. The result is computed once per row however often later
-    filters and expressions use it.
+    cleaned words. A dictionary is a dict, which becomes literals of the plan, or a table
+    of ``term`` and ``replacement``, which is joined by ``key``, unique in ``df``; the
+    text is the same. The result is computed once per row however often later filters
+    and expressions use it.
     """
     step_col = "__cleaning"
     work = df.withColumn(step_col, F.coalesce(F.col(text_col), F.lit("")))
     for step in cleaning_steps(slang, stems, lowercase):
-        work = work.withColumn(step_col, step(F.col(step_col)))
+        if isinstance(step, DataFrame):
+            work = replace_words_join(work, step, key, step_col, step_col)
+        else:
+            work = work.withColumn(step_col, step(F.col(step_col)))
     text = F.col(step_col)
     added = {out_col: text}
     if stats:

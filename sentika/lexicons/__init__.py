@@ -21,9 +21,6 @@ POSITIVE, NEUTRAL, NEGATIVE = "Positif", "Netral", "Negatif"
 SENTIMENTS = (POSITIVE, NEUTRAL, NEGATIVE)
 SENTIMENT_IDS = {POSITIVE: 0, NEUTRAL: 1, NEGATIVE: 2}
 
-# A lexicon becomes literals of the plan, so its size is checked before it is read.
-MAX_LEXICON_ROWS = 20_000
-
 
 @dataclass(frozen=True)
 class Lexicon:
@@ -44,11 +41,11 @@ class Lexicon:
 
     @classmethod
     def from_table(cls, table: DataFrame) -> "Lexicon":
-        """Read a lexicon table; refuses one that is too large to be literals."""
-        rows = table.select(*LEXICON.fieldNames()).limit(MAX_LEXICON_ROWS + 1).collect()
-        if len(rows) > MAX_LEXICON_ROWS:
-            raise ValueError(f"lexicon has more than {MAX_LEXICON_ROWS} rows")
-        rows.sort(key=lambda r: r.ord)
+        """Read a lexicon table into the driver, where it becomes literals of the plan.
+
+        Slang and stem tables of any size can stay tables: ``clean_reviews`` joins them.
+        """
+        rows = sorted(table.select(*LEXICON.fieldNames()).collect(), key=lambda r: r.ord)
         aspects: dict[str, list[str]] = {}
         polarity: dict[str, list[str]] = {"positive": [], "negative": []}
         slang, stems = {}, {}

@@ -9,45 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sentika.functions.labels import sentiment_id, sentiment_score
-from sentika.functions.text import WORD, word_tokens, words
+from sentika.functions.text import WORD, replace_words_join, word_tokens  # noqa: F401
 from sentika.session import broadcast_if_small, evaluate_once
 
 
-def replace_words_join(
-    df: DataFrame, table: DataFrame, key: str, text_col: str, out_col: str
-) -> DataFrame:
-    """Dictionary lookup of every token for dictionaries too large for literals.
-
-    ``table`` has ``term`` (lower case, unique) and ``replacement``; ``key`` must be
-    unique in ``df``. The dictionary is broadcast after a check of its size and else
-    joined by shuffle, where adaptive skew handling splits frequent tokens. Only the
-    hits, not all tokens, are grouped back by row, so a group is never larger than
-    one text; the new text is put together from the runs of words between them.
-    """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    tokens = df.select(key, F.posexplode(words(text)).alias("pos", "word"))
-    dictionary = table.select(
-        F.col("term").alias("__term"), F.coalesce("replacement", F.lit("")).alias("new")
-    )
-    found = tokens.join(broadcast_if_small(dictionary), F.lower("word") == F.col("__term"))
-    hits = found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "new"))).alias("__hits"))
-    split = evaluate_once(df.join(hits, key, "left"), {"__words": words(text)})
-    return split.withColumn(out_col, _patched(F.col("__words"), F.col("__hits"))).drop("__words", "__hits")
-
-
-def _patched(tokens: Column, hits: Column) -> Column:
-    """Words with the hits (sorted structs of pos and new) put in, empty ones dropped."""
-
-    def upto(hit: Column, i: Column) -> Column:
-        before = F.coalesce(F.get(hits, i - 1)["pos"], F.lit(-1))
-        return F.concat(F.slice(tokens, before + 2, hit["pos"] - before - 1), F.array(hit["new"]))
-
-    rest = F.slice(tokens, F.element_at(hits, -1)["pos"] + 2, F.size(tokens))
-    patched = F.concat(F.flatten(F.transform(hits, upto)), rest)
-    new = F.array_join(F.filter(patched, lambda w: F.trim(w) != ""), " ")
-    return F.when(hits.isNull(), F.array_join(tokens, " ")).otherwise(new)
-
-
 def lexicon_match_join(
     df: DataFrame, terms: DataFrame, lengths: Sequence[int], key: str, text_col: str
 ) -> DataFrame:
@@ -96,6 +61,12 @@ def label_codes(df: DataFrame, sentiment_col: str = "sentiment_rule") -> DataFra
     return df.withColumns({"sentiment_score": sentiment_score(mood), "sentiment_id": sentiment_id(mood)})
 
 
+def aspect_side(df: DataFrame, name: str = "side") -> DataFrame:
+    """Both halves in one pass: ``with`` at least one specific aspect, or ``without``."""
+    side = F.when(F.array_contains("aspects", "GENERAL"), "without").otherwise("with")
+    return df.withColumn(name, side)
+
+
 def with_aspect(df: DataFrame) -> DataFrame:
     """Reviews with at least one specific aspect (a semi-join on the long form)."""
     return df.where(~F.array_contains("aspects", "GENERAL"))

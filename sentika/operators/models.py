@@ -15,7 +15,7 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, SQLTransformer
+from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,14 +37,10 @@ from sentika.operators.metrics import best_checkpoint, combined_f1, long_labels,
 from sentika.operators.selection import train_val_test_split
 from sentika.session import scratch_path
 
-# Number of leading tokens a model reads.
-MAX_TOKENS = 128
-
 
 @dataclass(frozen=True)
 class TrainingConfig:
     num_features: int = 1 << 16
-    max_tokens: int = MAX_TOKENS
     max_iter: int = 20
     reg_params: Sequence[float] = (0.0, 0.01, 0.1)
     seed: int = 42
@@ -53,13 +49,10 @@ class TrainingConfig:
 
 
 def tfidf_pipeline(text_col: str = "clean_text", config: TrainingConfig = TrainingConfig()) -> Pipeline:
-    """First tokens of the text as hashed TF-IDF in ``features``."""
+    """All words of the text as hashed TF-IDF in ``features``."""
     return Pipeline(
         stages=[
-            RegexTokenizer(inputCol=text_col, outputCol="all_tokens", pattern=rf"[{SPACE}]+"),
-            SQLTransformer(
-                statement=f"SELECT *, slice(all_tokens, 1, {config.max_tokens}) AS tokens FROM __THIS__"
-            ),
+            RegexTokenizer(inputCol=text_col, outputCol="tokens", pattern=rf"[{SPACE}]+"),
             HashingTF(inputCol="tokens", outputCol="counts", numFeatures=config.num_features),
             IDF(inputCol="counts", outputCol="features"),
         ]

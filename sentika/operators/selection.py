@@ -99,7 +99,7 @@ def dedup_keep_first(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame
 
 # ---- ordinals and folds -----------------------------------------------------
 
-def dense_ordinal(df: DataFrame, order: Sequence[str], name: str = "ordinal") -> DataFrame:
+def dense_ordinal(df: DataFrame, order: Sequence[str | Column], name: str = "ordinal") -> DataFrame:
     """Contiguous positions 0, 1, 2, ... by ``order`` (its values must be unique rows).
 
     A global window would sort everything in one task. Here rows are range
@@ -125,6 +125,11 @@ def dense_ordinal(df: DataFrame, order: Sequence[str], name: str = "ordinal") ->
     )
 
 
+def first_rows(df: DataFrame, n: int, order: Sequence[str | Column]) -> DataFrame:
+    """The first ``n`` rows by ``order`` (unique), of any size: no task holds them all."""
+    return dense_ordinal(df, order, "__ordinal").where(F.col("__ordinal") < n).drop("__ordinal")
+
+
 def kfold_contiguous(df: DataFrame, order: Sequence[str], k: int = 5, name: str = "fold") -> DataFrame:
     """Contiguous unshuffled folds 0..k-1 by row order; the first n % k folds get
     one extra row."""
@@ -139,8 +144,8 @@ def kfold_contiguous(df: DataFrame, order: Sequence[str], k: int = 5, name: str
 
 
 def kfold_hashed(df: DataFrame, key: str, k: int = 5, name: str = "fold") -> DataFrame:
-    """Folds from a hash of the key: no sort, no shuffle, stable for each row."""
-    return df.withColumn(name, F.pmod(F.xxhash64(key), F.lit(k)).cast("int"))
+    """Folds from an md5 of the key: no sort, no shuffle, stable for each row."""
+    return df.withColumn(name, F.floor(hash_unit(F.col(key), "fold") * k).cast("int"))
 
 
 # ---- samples and splits -----------------------------------------------------

@@ -25,7 +25,7 @@ from sentika.plans import jobs
 from sentika.plans import sample_views as V
 from sentika.plans.sample_views import ASPECTS, LEXICON
 from sentika.schemas import LANDING, RAW, columns
-from sentika.session import reliable_checkpoint, scratch_path, spread
+from sentika.session import reliable_checkpoint, scratch_path
 from sentika.sources import files
 from sentika.streaming import streams as Z
 
@@ -249,7 +249,7 @@ def filter_audit(spark, sf):
 
 @query
 def slang_lookup(spark, sf):
-    return spread(V.reviews(spark, sf)).select(
+    return V.spread_reviews(spark, sf).select(
         "review_id", X.normalize_slang(F.col("review_text"), LEXICON.slang).alias("normalized")
     )
 
@@ -257,7 +257,7 @@ def slang_lookup(spark, sf):
 @query
 def slang_lookup_join(spark, sf):
     slang = LEXICON.to_table(spark).where("kind = 'slang'")
-    rows = spread(V.reviews(spark, sf).select("review_id", "review_text"))
+    rows = V.spread_reviews(spark, sf).select("review_id", "review_text")
     joined = J.replace_words_join(rows, slang, "review_id", "review_text", "normalized")
     return joined.select("review_id", "normalized")
 
@@ -282,10 +282,7 @@ def dense_grid_join(spark, sf):
 
 @query
 def aspect_semi_anti(spark, sf):
-    labeled = V.labeled(spark, sf)
-    found = J.with_aspect(labeled).select("review_id", F.lit("with").alias("side"))
-    rest = J.without_aspect(labeled).select("review_id", F.lit("without").alias("side"))
-    return found.unionByName(rest)
+    return J.aspect_side(V.labeled(spark, sf)).select("review_id", "side")
 
 
 # ---- aggregations -----------------------------------------------------------
@@ -396,8 +393,7 @@ def epoch_mean_loss(spark, sf):
 
 
 def _folded(spark, sf) -> DataFrame:
-    rows = R.regression_table(V.labeled(spark, sf), ASPECTS, "doc_id")
-    return S.kfold_contiguous(reliable_checkpoint(rows), ["doc_id"])
+    return S.kfold_hashed(R.regression_table(V.labeled(spark, sf), ASPECTS, "doc_id"), "doc_id")
 
 
 @query
@@ -530,8 +526,7 @@ def shuffle_limit(spark, sf):
 
 @query
 def cap_rows(spark, sf):
-    capped = V.reviews(spark, sf).select("review_id").limit(500)
-    return capped.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("review_id").alias("ids"))
+    return S.first_rows(V.reviews(spark, sf).select("review_id", "doc_id"), 500, ["doc_id"]).select("review_id")
 
 
 @query
@@ -606,7 +601,7 @@ def clean_urls(spark, sf):
 
 @query
 def stem_lookup(spark, sf):
-    cleaned = X.clean_reviews(spread(V.reviews(spark, sf)), slang=LEXICON.slang, stems=LEXICON.stems, out_col="clean_text_stem")
+    cleaned = X.clean_reviews(V.spread_reviews(spark, sf), slang=LEXICON.slang, stems=LEXICON.stems, out_col="clean_text_stem")
     return cleaned.select("review_id", "clean_text_stem")
 
 
@@ -720,7 +715,7 @@ def aspect_title(spark, sf):
 
 @query
 def summary_string(spark, sf):
-    return ML.score_reviews_rules(spread(V.reviews(spark, sf)), LEXICON).select("review_id", "summary")
+    return ML.score_reviews_rules(V.spread_reviews(spark, sf), LEXICON).select("review_id", "summary")
 
 
 @query
@@ -747,8 +742,7 @@ def sigmoid_threshold(spark, sf):
 
 @query
 def argmax_class(spark, sf):
-    first = F.slice("embedding", 1, 3)
-    return V.table(spark, sf, "embeddings").select("vec_id", L.argmax_class(first).alias("predicted"))
+    return V.table(spark, sf, "embeddings").select("vec_id", L.argmax_class(F.col("embedding")).alias("predicted"))
 
 
 # ---- models -----------------------------------------------------------------
@@ -831,7 +825,7 @@ def score_reviews(spark, sf):
 
 @query
 def score_reviews_rules(spark, sf):
-    scored = ML.score_reviews_rules(spread(V.reviews(spark, sf)), LEXICON)
+    scored = ML.score_reviews_rules(V.spread_reviews(spark, sf), LEXICON)
     return scored.select(
         "review_id",
         "clean_text",
@@ -906,7 +900,9 @@ def stream_score(spark, sf):
 def stream_dedup(spark, sf):
     paths = _landing_feeds(spark, sf)
     feeds = [S.conform_schema(Z.read_json_stream(spark, p, LANDING), RAW) for p in paths]
-    deduped = Z.stream_dedup(feeds[0].unionByName(feeds[1]), horizon="3650 days")
+    # the drained feeds come in any order: the horizon is what their dates span
+    days = V.reviews(spark, sf).agg(F.datediff(F.max("review_date"), F.min("review_date")).alias("d")).first().d
+    deduped = Z.stream_dedup(feeds[0].unionByName(feeds[1]), f"{(days or 0) + 1} days")
     out = Z.run_available(deduped.select("review_id", "review_text", "rating"), "stream-dedup")
     return spark.read.parquet(out)
 
@@ -916,9 +912,7 @@ def stream_aspect_counts(spark, sf):
     documents = V.table(spark, sf, "documents")
     cores = spark.sparkContext.defaultParallelism
     stream = V.as_reviews(Z.read_table_stream(spark, f"{sf}/documents.parquet*", documents.schema, spread_over=cores))
-    counts = Z.stream_aspect_counts(Z.stream_score(stream, LEXICON), "review_date")
-    flat = counts.select(F.col("window.start").alias("day"), "aspect", "sentiment", "n")
-    out = Z.run_available(flat, "stream-counts", mode="update")
-    latest = Z.latest_updates(spark, out, ["day", "aspect", "sentiment"], "n")
-    utc = F.to_utc_timestamp("day", F.current_timezone())
-    return latest.withColumn("day", F.date_format(utc, "yyyy-MM-dd"))
+    out = Z.count_available(Z.stream_score(stream, LEXICON), "stream-counts", "review_date")
+    total = Z.summed_batches(spark, out, ["window", "aspect", "sentiment"], "n")
+    utc = F.to_utc_timestamp("window.start", F.current_timezone())
+    return total.select(F.date_format(utc, "yyyy-MM-dd").alias("day"), "aspect", "sentiment", "n")

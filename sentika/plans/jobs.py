@@ -16,25 +16,28 @@ from sentika.operators.selection import (
     conform_schema,
     dedup_keep_first,
     fill_defaults,
+    first_rows,
     long_enough,
     union_feeds,
 )
 from sentika.schemas import RAW
-from sentika.session import reliable_checkpoint, spread
+from sentika.session import reliable_checkpoint
 from sentika.sources.files import scan_landing_pages, scan_reviews_csv, write_csv
 
 
 def ingest_pages(spark: SparkSession, feed_paths: Sequence[str], cap: int | None = None) -> DataFrame:
     """Landed pages of several feeds, first feed first, one row per review.
 
-    ``cap`` is the collection target: the number of collected rows to keep at most.
+    ``cap`` is the collection target: so many reviews are kept at most, those of the
+    first feeds, the newest first.
     """
     feeds = [conform_schema(scan_landing_pages(spark, path), RAW) for path in feed_paths]
     stacked = union_feeds(feeds)
-    if cap is not None:
-        stacked = stacked.limit(cap)
     order = ["feed_rank", F.desc("review_date"), "review_text"]
-    return dedup_keep_first(stacked, "review_id", order).drop("feed_rank")
+    collected = dedup_keep_first(stacked, "review_id", order)
+    if cap is not None:
+        collected = first_rows(collected, cap, ["feed_rank", F.desc("review_date"), "review_id"])
+    return collected.drop("feed_rank")
 
 
 def structure_reviews(collected: DataFrame) -> DataFrame:
@@ -48,7 +51,7 @@ def structure_reviews(collected: DataFrame) -> DataFrame:
 
 def clean_job(reviews: DataFrame, lexicon: Lexicon, min_words: int = 3) -> DataFrame:
     """Cleaned reviews of at least ``min_words`` words, with text counts."""
-    cleaned = clean_reviews(spread(reviews), slang=lexicon.slang, stats=True)
+    cleaned = clean_reviews(reviews, slang=lexicon.slang, stats=True)
     return cleaned.where(F.col("word_count") >= min_words)
 
 
@@ -62,16 +65,26 @@ def sentiment_by_aspect(reviews: DataFrame, lexicon: Lexicon) -> DataFrame:
     return aspect_sentiment_pct(label_job(reviews, lexicon), lexicon.aspect_names)
 
 
+def score_table(reviews: DataFrame, lexicon: Lexicon, model=None, text_col: str = "review_text") -> DataFrame:
+    """Batch scoring of any table; by rules when no model is given."""
+    filled = fill_defaults(reviews, {text_col: ""})
+    if model is None:
+        return score_reviews_rules(filled, lexicon, text_col)
+    return score_reviews(filled, model, lexicon, text_col=text_col)
+
+
 def score_file(
     spark: SparkSession, in_path: str, out_path: str, lexicon: Lexicon, model=None, text_col: str = "review_text"
 ) -> None:
-    """Batch scoring: CSV in, predictions CSV out; by rules when no model is given."""
-    reviews = fill_defaults(scan_reviews_csv(spark, in_path), {text_col: ""})
-    if model is None:
-        scored = score_reviews_rules(reviews, lexicon, text_col)
-    else:
-        scored = score_reviews(reviews, model, lexicon, text_col=text_col)
-    write_csv(scored, out_path)
+    """Batch scoring: CSV in, predictions CSV out, which must be another place.
+
+    A CSV file is read by one task, so its rows are dealt over all cores before the text
+    work.
+    """
+    if in_path.rstrip("/") == out_path.rstrip("/"):
+        raise ValueError("predictions would overwrite their input")
+    reviews = scan_reviews_csv(spark, in_path, spread_over=spark.sparkContext.defaultParallelism)
+    write_csv(score_table(reviews, lexicon, model, text_col), out_path)
 
 
 def report_rows(

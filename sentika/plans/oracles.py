@@ -263,7 +263,7 @@ def _gram() -> str:
         for j in range(i, len(columns))
     ]
     return (
-        f"WITH {REG}, folded AS (SELECT *, CAST(ntile(5) OVER (ORDER BY doc_id) - 1 AS INT) AS fold FROM reg) "
+        f"WITH {REG}, folded AS (SELECT *, CAST(floor({unit('fold', 'doc_id')} * 5) AS INT) AS fold FROM reg) "
         f"SELECT fold, count(*) AS n, {', '.join(sums)} FROM folded GROUP BY fold"
     )
 
@@ -444,7 +444,7 @@ def oracle_sql() -> dict[str, str]:
         "sorted_histogram": reviews_only("SELECT rating, count(*) AS n FROM reviews WHERE rating IS NOT NULL GROUP BY rating ORDER BY rating"),
         "random_sample": reviews_only("SELECT review_id, rating FROM reviews ORDER BY md5('42:' || review_id), review_id LIMIT 100"),
         "shuffle_limit": reviews_only("SELECT review_id FROM reviews ORDER BY md5('7:' || review_id), review_id LIMIT 250"),
-        "cap_rows": "SELECT count(*) AS n, count(DISTINCT doc_id) AS ids FROM (SELECT doc_id FROM documents LIMIT 500)",
+        "cap_rows": "SELECT CAST(doc_id AS VARCHAR) AS review_id FROM documents ORDER BY doc_id LIMIT 500",
         "train_val_test_split": reviews_only(f"SELECT review_id, {_split('review_id')} AS split FROM reviews"),
         # set operations
         "union_feeds_distinct": f"""WITH {REVIEWS}, feed AS (
@@ -506,7 +506,7 @@ def oracle_sql() -> dict[str, str]:
         "round_half_even": "SELECT event_id, round_even(floor(value) / 8.0, 2) AS rounded FROM events",
         "sigmoid_threshold": """SELECT event_id, round(p, 9) AS probability, p >= 0.5 AS at_least, p > 0.5 AS above
             FROM (SELECT event_id, 1 / (1 + exp(-((value - 50) / 10))) AS p FROM events)""",
-        "argmax_class": "SELECT vec_id, CAST(list_position(embedding[1:3], list_max(embedding[1:3])) - 1 AS INT) AS predicted FROM embeddings",
+        "argmax_class": "SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INT) AS predicted FROM embeddings",
         # models that plain SQL can express
         "score_reviews_rules": f"""WITH {ALL_LABELED} SELECT review_id, clean_text, {JOINED} AS aspects,
             array_to_string(list_transform(aspects, lambda a: a || ':' || sentiment_words), ',') AS sentiments,

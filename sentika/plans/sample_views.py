@@ -15,7 +15,6 @@ from sentika.lexicons.sample import sample_lexicon
 from sentika.operators.models import label_arrays
 from sentika.operators.selection import hash_unit
 from sentika.plans.jobs import label_job
-from sentika.session import spread
 
 LEXICON = sample_lexicon()
 ASPECTS = LEXICON.aspect_names
@@ -41,12 +40,20 @@ def reviews(spark: SparkSession, sf: str) -> DataFrame:
     return as_reviews(table(spark, sf, "documents"))
 
 
+def spread_reviews(spark: SparkSession, sf: str) -> DataFrame:
+    """Reviews for text work: the small sample tables are one file with one row group, so
+    their rows are dealt over all cores first. Listing files runs no job."""
+    documents, cores = table(spark, sf, "documents"), spark.sparkContext.defaultParallelism
+    few = len(documents.inputFiles()) < cores
+    return as_reviews(documents.repartition(cores) if few else documents)
+
+
 def cleaned(spark: SparkSession, sf: str) -> DataFrame:
-    return clean_reviews(spread(reviews(spark, sf)), slang=LEXICON.slang, stats=True)
+    return clean_reviews(spread_reviews(spark, sf), slang=LEXICON.slang, stats=True)
 
 
 def labeled(spark: SparkSession, sf: str) -> DataFrame:
-    return label_job(reviews(spark, sf), LEXICON)
+    return label_job(spread_reviews(spark, sf), LEXICON)
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Session helpers: shared scratch space, reliable checkpoints, scan spreading."""
+"""Session helpers: shared scratch space, reliable checkpoints, size-checked broadcasts."""
 
 from __future__ import annotations
 
@@ -41,18 +41,6 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Redistribute a scan with fewer splits than cores before CPU-heavy text work.
-
-    A few large unsplittable files would otherwise keep most cores idle. Inputs
-    that already have enough splits, the normal case at scale, pass unshuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
-
-
 def broadcast_if_small(df: DataFrame, max_rows: int = 500_000, max_chars: int = 1 << 26) -> DataFrame:
     """Mark a lookup side for broadcast after counting it, else leave it to be shuffled.
 

@@ -11,21 +11,27 @@ from pyspark.sql import types as T
 from sentika.schemas import LANDING, RAW, TRAINING_LOG
 
 
-def scan_reviews_csv(spark: SparkSession, path: str, schema: T.StructType = RAW) -> DataFrame:
+def scan_reviews_csv(
+    spark: SparkSession, path: str, schema: T.StructType = RAW, spread_over: int | None = None
+) -> DataFrame:
     """CSV with a header, quoted line breaks and doubled quotes; a byte-order mark is
-    skipped. Such files cannot be split, so many moderate files scale best."""
-    return (
+    skipped. Such files cannot be split: ``spread_over`` redistributes the rows of a few
+    large ones."""
+    rows = (
         spark.read.schema(schema)
         .option("header", True)
         .option("multiLine", True)
         .option("escape", '"')
         .csv(path)
     )
+    return rows.repartition(spread_over) if spread_over else rows
 
 
-def scan_reviews(spark: SparkSession, path: str) -> DataFrame:
-    """Review table in the native columnar format."""
-    return spark.read.parquet(path)
+def scan_reviews(spark: SparkSession, path: str, spread_over: int | None = None) -> DataFrame:
+    """Review table in the native columnar format; ``spread_over`` redistributes the rows
+    of a table with fewer row groups than cores."""
+    rows = spark.read.parquet(path)
+    return rows.repartition(spread_over) if spread_over else rows
 
 
 def scan_landing_pages(spark: SparkSession, path: str, schema: T.StructType = LANDING) -> DataFrame:

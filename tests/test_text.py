@@ -1,15 +1,14 @@
 from __future__ import annotations
 
+import itertools
 import random
 import re
 import unicodedata
 
-import pytest
 from pyspark.sql import functions as F
 
 from sentika.functions import text as X
 from sentika.functions.text import clean_reviews
-from sentika.lexicons.banking_id import banking_lexicon
 
 SLANG = {"gak": "tidak", "error": "kesalahan", "josss": "bagus", "lemot": "lambat", "keren": "bagus",
          "mantul": "mantap betul", "wkwk": "", "que": "q  e", "é": "E", "otp": "OTP"}
@@ -18,23 +17,61 @@ EMOJI_RANGES = [(0x1F600, 0x1F64F), (0x1F300, 0x1F5FF), (0x1F680, 0x1F9FF), (0x2
 EMOJI_CLASS = "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in EMOJI_RANGES) + "]+"
 
 
+def _skip(text, start_of, end_of):
+    """Without the stretches that begin where ``start_of`` says and run to ``end_of``."""
+    out, i = [], 0
+    while i < len(text):
+        end = end_of(text, i) if start_of(text, i) else i
+        if end > i:
+            i = end
+        else:
+            out.append(text[i])
+            i += 1
+    return "".join(out)
+
+
+def _run_end(text, i, inside):
+    while i < len(text) and inside(text[i]):
+        i += 1
+    return i
+
+
+def _tag_end(text, i):
+    end = text.find(">", i)
+    return end + 1 if end > i + 1 else i
+
+
+def _address_end(text, i):
+    head = next(h for h in ("http://", "https://", "www.") if text.startswith(h, i))
+    end = _run_end(text, i + len(head), lambda c: not c.isspace())
+    return end if end > i + len(head) else i
+
+
+def _mention_end(text, i):
+    end = _run_end(text, i + 1, _is_word)
+    return end if end > i + 1 else i
+
+
+def _is_word(c):
+    return c == "_" or c.isalnum()
+
+
 def python_clean(text, slang=SLANG):
-    """The cleaning contract in a few lines of another language."""
-    if text is None or not text.strip():
+    """The contract checked character by character, without regular expressions."""
+    if not (text or "").strip():
         return ""
     t = unicodedata.normalize("NFC", text)
-    for pattern, new in (
-        (r"<[^>]+>", ""),
-        (EMOJI_CLASS, ""),
-        (r"https?://\S+|www\.\S+", ""),
-        (r"[@#]\w+", ""),
-        (r"(.)\1{2,}", r"\1\1"),
-        (r"([!?.]){2,}", r"\1"),
-    ):
-        t = re.sub(pattern, new, t)
-    tokens = [slang.get(w.lower(), w) for w in t.lower().split()]
-    t = " ".join(w for w in tokens if w.strip())
-    return re.sub(r"\s+", " ", re.sub(r"[^\w\s.,!?;:()\-']", " ", t)).strip()
+    t = _skip(t, lambda s, i: s[i] == "<", _tag_end)
+    t = "".join(c for c in t if not any(a <= ord(c) <= b for a, b in EMOJI_RANGES))
+    t = _skip(t, lambda s, i: s.startswith(("http://", "https://", "www."), i), _address_end)
+    t = _skip(t, lambda s, i: s[i] in "@#", _mention_end)
+    runs = ["".join(g) for _, g in itertools.groupby(t)]
+    t = "".join(r if r[0] == "\n" else r[:2] for r in runs)
+    marks = [(stop, "".join(g)) for stop, g in itertools.groupby(t, lambda c: c in "!?.")]
+    t = "".join(r[-1] if stop else r for stop, r in marks)
+    tokens = (slang.get(w, w) for w in t.lower().split())
+    kept = (c if _is_word(c) or c in ".,!?;:()-'" else " " for c in " ".join(tokens))
+    return " ".join("".join(kept).split())
 
 
 def clean_all(spark, texts, **options):
@@ -61,8 +98,8 @@ def test_golden_rows(spark):
     assert clean_all(spark, [a for a, _ in GOLDEN]) == [b for _, b in GOLDEN]
 
 
-def test_whole_default_dictionary(spark):
-    slang = banking_lexicon().slang
+def test_whole_dictionary(spark):
+    slang = {f"{a}{b}{a}": f"{b} {a}" if a != b else "" for a in "bcdfg" for b in "aeiou"}
     texts = [f"{k} X {k.upper()}, {v}" for k, v in slang.items()]
     assert clean_all(spark, texts, slang=slang) == [python_clean(t, slang) for t in texts]
 
@@ -148,6 +185,36 @@ def test_filter_does_not_repeat_the_chain(spark):
     assert plan.count(r"(.)\1{2,}") == 1
 
 
-def test_large_dictionary_is_refused(spark):
-    with pytest.raises(ValueError):
-        X.replace_words(F.col("t"), {f"w{i}": "x" for i in range(X.MAX_INLINE_TERMS + 1)})
+def test_dictionary_and_table_give_equal_text(spark):
+    slang = {f"w{i}": ("" if i % 50 == 0 else f"v{i}  x" if i % 3 else f"V{i}") for i in range(50_000)}
+    table = spark.range(50_000).selectExpr(
+        "concat('w', id) as term", "case when id % 50 = 0 then null when id % 3 <> 0 then concat('v', id, '  x') else concat('V', id) end as replacement"
+    )
+    texts = [f"w{i} W{i * 7} hot hot, w{i}! a\tb w1" for i in range(300)] + ["", None, " ", "w0", "w0 w50"]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "review_id string, review_text string")
+    few = {k: slang[k] for k in {w.lower().strip("!,") for t in texts for w in (t or "").split()} if k in slang}
+    want = {r.review_id: r.clean_text for r in clean_reviews(df, slang=few, stems=few).collect()}
+    assert {r.review_id: r.clean_text for r in clean_reviews(df, slang=table, stems=table).collect()} == want
+    big = {r.review_id: r.clean_text for r in clean_reviews(df.where("review_id < '2'"), slang=slang).collect()}
+    once = {r.review_id: r.clean_text for r in clean_reviews(df, slang=few).collect()}
+    assert big == {k: once[k] for k in big}
+
+
+def test_large_tables_are_joined_by_salted_words(spark, monkeypatch):
+    monkeypatch.setattr(X, "broadcast_if_small", lambda table: table)
+    table = spark.createDataFrame([("hot", "cold"), ("Up", "no"), ("gone", None)], "term string, replacement string")
+    df = spark.createDataFrame([(i, "hot HOT up gone") for i in range(50)], "id int, t string")
+    assert {r.o for r in X.replace_words_join(df, table, "id", "t", "o").collect()} == {"cold cold up"}
+
+
+def test_class_of_composable_characters_is_complete():
+    odd = re.compile(_python_class(X.not_composed()))
+    rng = random.Random(11)
+    points = [chr(c) for c in range(0x80, 0x30000) if not 0xD800 <= c < 0xE000]
+    for _ in range(100_000):
+        t = "a" + rng.choice(points) + rng.choice(points)
+        assert odd.search(t) or unicodedata.normalize("NFC", t) == t
+
+
+def _python_class(java):
+    return re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", java)
