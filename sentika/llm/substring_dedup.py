@@ -10,8 +10,10 @@ a whole; only the different contexts of an anchor have their suffixes sorted:
 * the order of all others is induced from them by one scan of the buckets of first bytes,
 * neighbours in that order with a common prefix of ``LENGTH`` bytes are repeated strings.
 
-An anchor with more than ``MAX_CONTEXTS`` different contexts is not sorted in one task: hashes
-of its strings are counted instead, which finds the same.
+An anchor with more than ``MAX_CONTEXTS`` different contexts is not sorted in one task. Its
+strings are filed again, ``RANGE`` neighbouring starts together, by all the bytes that these have
+in common; equal strings still meet, and hardly any others do. Should more than ``MAX_REFINED``
+different contexts meet even there, hashes of their strings are counted, which finds the same.
 """
 
 from __future__ import annotations
@@ -30,10 +32,14 @@ LENGTH = 400
 GRAM = 32
 #: Bytes of contexts that are sorted together.
 SORT_BYTES = 512 << 10
+#: Contexts of a bucket that are sorted at once: about 40 kB of sort keys each, so 40 MB.
 MAX_CONTEXTS = 1000
+#: Starts filed together under the bytes common to their strings, and the contexts sorted then: 7 kB each.
+RANGE, MAX_REFINED = 32, 10_000
 #: Starts handled at once in a very long text.
 PIECE = (1 << 20) - 4096
 ANCHORS = "id long, text_key long, key long, context long, lo int, hi int"
+REFINED = "key long, context long, id long, text_key long, lo int, hi int, part binary"
 SPANS = "id long, text_key long, start int, end int"
 
 
@@ -263,6 +269,36 @@ def _sorted_buckets(length: int):
     return run
 
 
+def refined_runs(part: bytes, key: int, length: int = LENGTH) -> Iterator[tuple[int, int, int]]:
+    """``(key, first start, last start)`` of each range of starts in a context of the anchor ``key``.
+
+    Ranges are measured from the anchor, so that equal strings are in ranges of one number.
+    """
+    hashes = gram_hashes(np.frombuffer(part, np.uint8))[: length - GRAM + 1].view(np.int64)
+    anchor = int(np.flatnonzero(hashes == key)[0])
+    last = len(part) - length
+    for k in range((anchor - last) // RANGE, anchor // RANGE + 1):
+        common = part[anchor - RANGE * k : anchor - RANGE * k + length - RANGE + 1]
+        digest = xxhash.xxh3_64_intdigest(common, seed=(key + k) & (1 << 64) - 1)
+        yield digest - (1 << 63), max(0, anchor - RANGE * k - RANGE + 1), min(last, anchor - RANGE * k)
+
+
+def _refined(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for key, doc, text_key, lo, part in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                for own, first, last in refined_runs(part, key, length):
+                    piece = part[first : last + length]
+                    rows.append((own, xxhash.xxh3_64_intdigest(piece) - (1 << 63), doc, text_key, lo + first, lo + last, piece))
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            kinds = [*[pa.int64()] * 4, pa.int32(), pa.int32(), pa.binary()]
+            names = [f.split()[0] for f in REFINED.split(", ")]
+            yield pa.record_batch({n: pa.array(list(c), k) for n, c, k in zip(names, columns, kinds, strict=True)})
+
+    return run
+
+
 def _string_hashes(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -319,12 +355,25 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     cut = written(cut, "open-contexts")
     columns = "key", "id", "text_key", "lo", "part"
-    small = cut.where(F.col("different") <= MAX_CONTEXTS).select(*columns).repartition("key").sortWithinPartitions("key", "id", "text_key", "lo")
-    hot = cut.where(F.col("different") > MAX_CONTEXTS).select(*columns)
-    hashed = hot.mapInArrow(_string_hashes(length), "id long, text_key long, start int, h1 long, h2 long")
+    small = cut.where(F.col("different") <= MAX_CONTEXTS).select(*columns)
+    fine = written(cut.where(F.col("different") > MAX_CONTEXTS).select(*columns).mapInArrow(_refined(length), REFINED), "refined")
+    groups = fine.groupBy("key", "context").agg(
+        F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "text_key", "lo", "part")).alias("one")
+    )
+    groups = written(groups, "refined-contexts")
+    again = fine.join(groups.where("copies > 1").select("key", "context"), ["key", "context"]).select(
+        "id", "text_key", F.col("lo").alias("start"), end
+    )
+    several = groups.groupBy("key").agg(F.count(F.lit(1)).alias("different")).where("different > 1")
+    left = groups.join(several, "key").select("different", "key", "one.*")
+    small = small.unionByName(left.where(F.col("different") <= MAX_REFINED).select(*columns))
+    in_order = small.repartition("key").sortWithinPartitions("key", "id", "text_key", "lo")
+    hashed = left.where(F.col("different") > MAX_REFINED).select(*columns).mapInArrow(
+        _string_hashes(length), "id long, text_key long, start int, h1 long, h2 long"
+    )
     twice = hashed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
     counted = hashed.join(twice, ["h1", "h2"]).select("id", "text_key", "start", (F.col("start") + length).alias("end"))
-    return whole.unionByName(small.mapInArrow(_sorted_buckets(length), SPANS)).unionByName(counted)
+    return whole.unionByName(again).unionByName(in_order.mapInArrow(_sorted_buckets(length), SPANS)).unionByName(counted)
 
 
 def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

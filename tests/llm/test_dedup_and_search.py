@@ -125,8 +125,10 @@ def test_repeated_strings_equal_brute_force(spark, docs, empty, monkeypatch):
     rows = [*ROWS[:10], *_passages()]
     df = documents(spark, rows)
     want = Counter((i, *x) for (i, _), x in zip(rows, _removed([t for _, t in rows], 64), strict=True))
-    for most in (1000, 3):  # buckets above the bound are counted by hashes
+    # buckets above the first bound are filed again, above the second counted by hashes
+    for most, refined in ((1000, 10_000), (2, 10_000), (2, 1)):
         monkeypatch.setattr(substring_dedup, "MAX_CONTEXTS", most)
+        monkeypatch.setattr(substring_dedup, "MAX_REFINED", refined)
         got = substring_dedup.without_repeats(df, length=64).collect()
         seen = Counter(
             (r.doc_id, r.n_bytes, sum(s["end"] - s["start"] for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in got
