@@ -333,7 +333,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("length is a multiple of 8 from 40 on")
     keyed = _keyed(docs, id_col, text_col)
     anchors = written(keyed.mapInArrow(_anchors(length), ANCHORS), "anchors")
-    shared = anchors.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    # written, so that the join below has plain shuffles on both sides and a hot anchor can be split
+    shared = written(anchors.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared-keys")
     runs = written(anchors.join(shared, "key"), "shared-anchors")
     contexts = runs.groupBy("key", "context").agg(
         F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "text_key", "lo", "hi")).alias("one")
