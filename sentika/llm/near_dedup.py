@@ -156,7 +156,9 @@ class NearDuplicates:
         """``key, pivot, c`` of all members of buckets that hold two classes or more."""
         banded = self.classes.select("c", F.explode("bands").alias("key"))
         shared = banded.groupBy("key").agg(F.min("c").alias("pivot"), F.max("c").alias("last")).where("pivot < last")
-        return written(banded.join(shared.select("key", "pivot"), "key"), "buckets")
+        # written, so that the join has plain shuffles on both sides and a hot bucket can be split
+        shared = written(shared.select("key", "pivot"), "shared-buckets")
+        return written(banded.join(shared, "key"), "buckets")
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """The pairs of classes ``a < b`` whose full sets are similar enough."""
