@@ -58,20 +58,36 @@ def blank_to_empty(text: Column) -> Column:
 
 
 @lru_cache(maxsize=1)
-def not_composed() -> str:
-    """Character class of all that composition (NFC) may change: combining marks, the
-    vowels and final consonants of Hangul, and characters with another canonical form."""
-    points = [
+def composable() -> tuple[int, ...]:
+    """Code points of all that composition (NFC) may change: combining marks, the vowels
+    and final consonants of Hangul, and characters with another canonical form. None lies
+    below 0x300."""
+    found = {
         c
-        for c in range(0x80, 0x110000)
+        for c in range(0x300, 0x110000)
         if not 0xAC00 <= c < 0xD7A4
         and not 0xD800 <= c < 0xE000
-        and (unicodedata.combining(chr(c)) or unicodedata.category(chr(c))[0] == "M" or unicodedata.normalize("NFC", chr(c)) != chr(c))
+        and (unicodedata.category(chr(c))[0] == "M" or unicodedata.normalize("NFC", chr(c)) != chr(c))
+    }
+    return tuple(sorted(found | {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}))
+
+
+@lru_cache(maxsize=1)
+def not_composed() -> str:
+    """Character class of the composable characters, block by block: a character is tested
+    against the ranges of its own block only, and most letters fail the first test."""
+    blocks: dict[int, list[list[int]]] = {}
+    for c in composable():
+        ranges = blocks.setdefault(c >> 10, [])
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    span = lambda x, y: f"\\x{{{x:x}}}-\\x{{{y:x}}}"
+    parts = [
+        f"[{span(b << 10, (b << 10) + 0x3FF)}&&[{''.join(span(x, y) for x, y in ranges)}]]" for b, ranges in blocks.items()
     ]
-    points = sorted({*points, *range(0x1161, 0x1176), *range(0x11A8, 0x11C3)})
-    starts = [c for c, before in zip(points, [-1, *points], strict=False) if c != before + 1]
-    ends = [c for c, after in zip(points, [*points[1:], -1], strict=True) if after != c + 1]
-    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, ends, strict=True)) + "]"
+    return f"[{span(0x300, 0x10FFFF)}&&[{''.join(parts)}]]"
 
 
 def _composer():
@@ -198,7 +214,7 @@ def replace_words_join(
     each = F.array_distinct(F.transform(words(text), lambda w: F.lower(w)))
     asked = df.select(key, F.explode(each).alias("__term"))
     dictionary = table.where(F.col("term") == F.lower("term")).select(
-        F.col("term").alias("__term"), normalize_space(F.coalesce("replacement", F.lit(""))).alias("__new")
+        F.col("term").alias("__term"), F.when(F.trim("replacement") != "", F.col("replacement")).otherwise("").alias("__new")
     )
     small = broadcast_if_small(dictionary)
     if small is dictionary:
@@ -322,7 +338,8 @@ def clean_reviews(
     work = df.withColumn(step_col, F.coalesce(F.col(text_col), F.lit("")))
     for step in cleaning_steps(slang, stems, lowercase):
         if isinstance(step, DataFrame):
-            work = replace_words_join(work, step, key, step_col, step_col)
+            tidy = step.withColumn("replacement", normalize_space(F.col("replacement")))
+            work = replace_words_join(work, tidy, key, step_col, step_col)
         else:
             work = work.withColumn(step_col, step(F.col(step_col)))
     text = F.col(step_col)

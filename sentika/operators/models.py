@@ -30,7 +30,7 @@ from sentika.functions.labels import (
     round_half_even,
     summary_string,
 )
-from sentika.functions.text import SPACE, clean_reviews
+from sentika.functions.text import SPACE, clean_reviews, words
 from sentika.lexicons import GENERAL, SENTIMENTS, Lexicon
 from sentika.operators.distributions import class_weights
 from sentika.operators.metrics import best_checkpoint, combined_f1, long_labels, sentiment_f1_per_aspect
@@ -298,12 +298,56 @@ def score_reviews_rules(df: DataFrame, lexicon: Lexicon, text_col: str = "review
 
 # ---- clusters ---------------------------------------------------------------
 
+def fit_topics(df: DataFrame, embedding_col: str = "embedding", k: int = 8, seed: int = 42, max_iter: int = 20) -> Model:
+    """K-means over an array column, fitted on all rows."""
+    vectors = df.select(array_to_vector(F.col(embedding_col).cast("array<double>")).alias("__vector"))
+    return KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="__vector", predictionCol="cluster_id").fit(vectors)
+
+
+def assign_topics(df: DataFrame, model: Model, embedding_col: str = "embedding") -> DataFrame:
+    """Add ``cluster_id``, the nearest centre of a fitted model."""
+    vectors = df.withColumn("__vector", array_to_vector(F.col(embedding_col).cast("array<double>")))
+    return model.transform(vectors).drop("__vector")
+
+
 def kmeans_topics(
     df: DataFrame, embedding_col: str = "embedding", k: int = 8, seed: int = 42, max_iter: int = 20
 ) -> DataFrame:
     """Add ``cluster_id`` from k-means over an array column, fitted on all rows."""
-    vectors = df.withColumn("__vector", array_to_vector(F.col(embedding_col).cast("array<double>")))
-    model = KMeans(
-        k=k, seed=seed, maxIter=max_iter, featuresCol="__vector", predictionCol="cluster_id"
-    ).fit(vectors)
-    return model.transform(vectors).drop("__vector")
+    return assign_topics(df, fit_topics(df, embedding_col, k, seed, max_iter), embedding_col)
+
+
+def own_centre_is_nearest(assigned: DataFrame, model: Model, embedding_col: str = "embedding") -> Column:
+    """Whether no centre is nearer to a row than that of its cluster."""
+    row = F.col(embedding_col).cast("array<double>")
+
+    def distance(centre) -> Column:
+        squares = F.zip_with(row, F.array(*[F.lit(float(x)) for x in centre]), lambda x, c: (x - c) * (x - c))
+        return F.aggregate(squares, F.lit(0.0), lambda a, x: a + x)
+
+    distances = F.array(*[distance(c) for c in model.clusterCenters()])
+    return F.get(distances, F.col("cluster_id")) <= F.array_min(distances) + 1e-9
+
+
+# ---- checks of fitted models -------------------------------------------------
+
+def beats_constant(scored: DataFrame, label: Column, probability: Column, classes: int) -> Column:
+    """Aggregate: the log loss of ``probability`` (an array) is at most that of the class shares."""
+    p = F.greatest(F.get(probability, label), F.lit(1e-15))
+    n = [F.count_if(label == c) for c in range(classes)]
+    total = F.count(label)
+    constant = sum((F.when(k > 0, -k * F.log(k / total)).otherwise(0.0) for k in n), F.lit(0.0))
+    return F.coalesce(-F.sum(F.log(p)) <= constant + 1e-6, F.lit(True))
+
+
+def term_weights(df: DataFrame, key: str = "review_id", text_col: str = "clean_text") -> DataFrame:
+    """``key, term, tf, idf`` of every word of every text, without hashing: the weights that
+    the models' features approximate. idf is ln((N + 1) / (df + 1))."""
+    terms = df.select(key, F.explode(words(F.lower(F.col(text_col)))).alias("term"))
+    tf = terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    held = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n = df.agg(F.count(F.lit(1)).alias("texts"))
+    weighed = held.crossJoin(F.broadcast(n))  # one row
+    return tf.join(weighed.select("term", F.log((F.col("texts") + 1.0) / (F.col("df") + 1)).alias("idf")), "term").select(
+        key, "term", "tf", "idf"
+    )

@@ -161,50 +161,54 @@ def hash_unit(key: Column, seed: int | str) -> Column:
     return F.conv(head, 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
-def _first_buckets(df: DataFrame, n: int, key: str, seed: int, strata: str | None = None) -> DataFrame:
-    """Rows of the leading hash buckets that surely hold the first n rows in hash order,
-    of all rows or of each stratum.
+def _first_rows_by_hash(df: DataFrame, n: int, key: str, seed: int, strata: str | None = None) -> DataFrame:
+    """The first n rows in hash order, of all rows or of each stratum.
 
-    The bucket sizes are exact, so nothing is lost, and what is left to sort is about n
-    rows and one bucket instead of n rows from every task. Counting reads only the key.
+    Exact sizes of 65,536 hash buckets tell which buckets are taken whole; only the one
+    bucket where the cut falls is ranked, so no task holds the n rows. Counting reads
+    only the key.
     """
     bucket = (hash_unit(F.col(key), seed) * 65536).cast("int")
     group = [strata] if strata else []
     sizes = df.groupBy(*group, bucket.alias("__bucket")).agg(F.count(F.lit(1)).alias("__n"))
     upto = Window.partitionBy(*(group or [F.lit(0)])).orderBy("__bucket")
     needed = sizes.withColumn("__before", F.sum("__n").over(upto) - F.col("__n")).where(F.col("__before") < n)
-    cuts = needed.groupBy(*group).agg(F.max("__bucket").alias("__cut"))
+    last = F.max(F.struct("__bucket", "__before"))
+    cuts = needed.groupBy(*group).agg(last["__bucket"].alias("__cut"), (n - last["__before"]).alias("__room"))
     if strata:
-        return df.join(broadcast_if_small(cuts), strata).where(bucket <= F.col("__cut")).drop("__cut")
-    cut = cuts.first()["__cut"]
-    return df if cut is None else df.where(bucket <= cut)
+        tagged = df.join(broadcast_if_small(cuts), strata)
+    else:
+        cut = cuts.first()
+        if cut is None or cut["__cut"] is None:
+            return df
+        tagged = df.withColumns({"__cut": F.lit(cut["__cut"]), "__room": F.lit(cut["__room"])})
+    tagged = tagged.withColumn("__bucket", bucket)
+    within = Window.partitionBy(*group, "__bucket").orderBy(hash_order(F.col(key), seed), F.col(key))
+    ranked = tagged.where("__bucket = __cut").withColumn("__rank", F.row_number().over(within))
+    partial = ranked.where("__rank <= __room").drop("__rank")
+    return tagged.where("__bucket < __cut").unionByName(partial).drop("__cut", "__room", "__bucket")
 
 
 def random_sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """min(n, rows) rows in reproducible random order (a top-k by hash).
+    """min(n, rows) rows in reproducible random order.
 
-    Runs a job that counts hash buckets of the key.
+    Runs a job that counts hash buckets of the key. The order is a distributed sort.
     """
-    return _first_buckets(df, n, key, seed).orderBy(hash_order(F.col(key), seed), key).limit(n)
+    return _first_rows_by_hash(df, n, key, seed).orderBy(hash_order(F.col(key), seed), key)
 
 
 def stratified_sample(
     df: DataFrame, n: int = 500, strata: str = "rating", key: str = "review_id", groups: int = 5, seed: int = 42
 ) -> DataFrame:
-    """Up to n // groups rows of each stratum, shuffled; null strata drop out. Without
-    the stratum column it is a plain sample of n.
+    """Up to n // groups rows of each stratum, shuffled, n at most; null strata drop out.
+    Without the stratum column it is a plain sample of n.
 
-    Runs a job that counts hash buckets per stratum. Only the leading buckets are
-    ranked, and each task keeps at most that many rows of a stratum before the shuffle.
+    Runs jobs that count hash buckets, per stratum and of what is picked.
     """
     if strata not in df.columns:
         return random_sample(df, n, key, seed)
-    order = hash_order(F.col(key), seed)
-    w = Window.partitionBy(strata).orderBy(order, F.col(key))
-    leading = _first_buckets(df.where(F.col(strata).isNotNull()), n // groups, key, seed, strata)
-    ranked = leading.withColumn("__rank", F.row_number().over(w))
-    picked = ranked.where(F.col("__rank") <= n // groups).drop("__rank")
-    return picked.orderBy(order, key).limit(n)
+    picked = _first_rows_by_hash(df.where(F.col(strata).isNotNull()), n // groups, key, seed, strata)
+    return random_sample(picked, n, key, seed)
 
 
 def train_val_test_split(

@@ -167,8 +167,12 @@ def score_file(spark, sf):
 @query
 def save_load_model(spark, sf):
     path = scratch_path(spark, "model")
-    ML.save_model(ML.train_evaluate(V.labeled(spark, sf), ASPECTS, ONE_CANDIDATE).model, path)
-    return _score(V.reviews(spark, sf), ML.load_model(path))
+    model = ML.train_evaluate(V.labeled(spark, sf), ASPECTS, ONE_CANDIDATE).model
+    ML.save_model(model, path)
+    reviews = V.spread_reviews(spark, sf)
+    one = _score(reviews, model).select("review_id", F.struct("aspects", "sentiments", "summary").alias("one"))
+    two = _score(reviews, ML.load_model(path)).select("review_id", F.struct("aspects", "sentiments", "summary").alias("two"))
+    return one.join(two, "review_id", "full").select("review_id", F.col("one").eqNullSafe(F.col("two")).alias("agree"))
 
 
 # ---- projections and filters ------------------------------------------------
@@ -747,13 +751,20 @@ def argmax_class(spark, sf):
 
 # ---- models -----------------------------------------------------------------
 
+def _embedded(spark, sf) -> DataFrame:
+    return V.table(spark, sf, "embeddings").withColumnRenamed("vec_id", "doc_id")
+
+
 def _clusters(spark, sf) -> DataFrame:
-    return ML.kmeans_topics(V.table(spark, sf, "embeddings").withColumnRenamed("vec_id", "doc_id"))
+    return ML.kmeans_topics(_embedded(spark, sf))
 
 
 @query
 def kmeans_topics(spark, sf):
-    return _clusters(spark, sf).select("doc_id", "label", "cluster_id")
+    rows = _embedded(spark, sf)
+    model = ML.fit_topics(rows)
+    assigned = ML.assign_topics(rows, model)
+    return assigned.select("doc_id", "label", ML.own_centre_is_nearest(assigned, model).alias("own_centre_is_nearest"))
 
 
 @query
@@ -766,15 +777,8 @@ def kmeans_topic_terms(spark, sf):
 
 @query
 def tfidf_features(spark, sf):
-    rows = V.labeled(spark, sf).select("review_id", "clean_text")
-    vectors = ML.tfidf_pipeline(config=TRAINING).fit(rows).transform(rows)
-    weights = ML.vector_to_array("features")
-    return vectors.select(
-        "review_id",
-        F.size("tokens").alias("tokens"),
-        F.size(F.filter(weights, lambda w: w != 0)).alias("nonzero"),
-        F.round(F.aggregate(weights, F.lit(0.0), lambda a, w: a + w), 6).alias("mass"),
-    )
+    weights = ML.term_weights(V.labeled(spark, sf))
+    return weights.withColumn("idf", F.round("idf", 9))
 
 
 def _featurised(spark, sf) -> DataFrame:
@@ -786,21 +790,34 @@ def _featurised(spark, sf) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _better(scored: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """One row for each aspect: whether its model beats the shares of the classes."""
+    flags = scored.agg(*[c.alias(f"b{i}") for i, c in enumerate(checks.values())])
+    rows = [F.struct(F.lit(a).alias("aspect"), F.col(f"b{i}").alias("beats_constant")) for i, a in enumerate(checks)]
+    return flags.select(F.inline(F.array(*rows)))
+
+
 @query
 def aspect_classifier(spark, sf):
     rows = _featurised(spark, sf)
-    heads = ML.fit_aspect_heads(rows, ASPECTS, TRAINING, 0.1)
-    scored = ML.PipelineModel(heads).transform(rows)
-    return scored.select("review_id", *[F.col(f"aspect_pred_{i}").cast("int").alias(a.lower()) for i, a in enumerate(ASPECTS)])
+    scored = ML.PipelineModel(ML.fit_aspect_heads(rows, ASPECTS, TRAINING, 0.01)).transform(rows)
+    checks = {
+        a: ML.beats_constant(scored, F.get("aspect_true", F.lit(i)), ML.vector_to_array(f"aspect_prob_{i}"), 2)
+        for i, a in enumerate(ASPECTS)
+    }
+    return _better(scored, checks)
 
 
 @query
 def sentiment_classifier(spark, sf):
     rows = _featurised(spark, sf)
-    weights = {r.sentiment_id: r.weight for r in D.class_weights(rows, ASPECTS).collect()}
-    scored = ML.PipelineModel(ML.fit_sentiment_heads(rows, ASPECTS, TRAINING, 0.1, weights)).transform(rows)
-    moods = {a: f"sentiment_pred_{i}" for i, a in enumerate(ASPECTS) if f"sentiment_pred_{i}" in scored.columns}
-    return scored.select("review_id", *[F.col(c).cast("int").alias(a.lower()) for a, c in moods.items()])
+    scored = ML.PipelineModel(ML.fit_sentiment_heads(rows, ASPECTS, TRAINING, 0.01)).transform(rows)
+    checks = {}
+    for i, a in enumerate(ASPECTS):
+        own = F.get("sentiment_true", F.lit(i))
+        fitted = f"sentiment_prob_{i}" in scored.columns
+        checks[a] = ML.beats_constant(scored, F.when(own != -1, own), ML.vector_to_array(f"sentiment_prob_{i}"), 3) if fitted else F.lit(True)
+    return _better(scored, checks)
 
 
 @query
@@ -819,8 +836,17 @@ def _score(reviews: DataFrame, model) -> DataFrame:
 
 @query
 def score_reviews(spark, sf):
+    """Whether each scored row follows from its own probabilities, rebuilt from them."""
     model = ML.train_evaluate(V.labeled(spark, sf), ASPECTS, ONE_CANDIDATE).model
-    return _score(V.reviews(spark, sf), model)
+    scored = ML.score_reviews(V.spread_reviews(spark, sf), model, LEXICON)
+    sure = F.lit(True)
+    for a in ASPECTS:
+        p = F.element_at("confidence", a)
+        held = F.array_contains("aspects", a)
+        sure = sure & ((held == (p >= 0.5)) | (F.abs(p - 0.5) < 1e-4)) & (held == F.map_contains_key("sentiments", a))
+    general = F.array_contains("aspects", "GENERAL") == (F.size("sentiments") == 0)
+    summary = L.summary_string(F.col("aspects"), F.col("sentiments")) == F.col("summary")
+    return scored.select("review_id", (sure & general & summary).alias("follows"))
 
 
 @query

@@ -520,6 +520,18 @@ def oracle_sql() -> dict[str, str]:
             x AS (SELECT doc_id, toxic, m // n + CAST(k <= m % n AS INT) AS copies FROM r JOIN c USING (toxic) CROSS JOIN m)
             SELECT doc_id, toxic, CAST(unnest(range(1, copies + 1)) AS INT) AS copy FROM x""",
         "term_frequencies": f"WITH {LABELED}, {_terms('aspect', 'labeled')} SELECT * FROM terms",
+        # models: what must hold of any good fit
+        "save_load_model": reviews_only("SELECT review_id, true AS agree FROM reviews"),
+        "score_reviews": reviews_only("SELECT review_id, true AS follows FROM reviews"),
+        "kmeans_topics": "SELECT vec_id AS doc_id, label, true AS own_centre_is_nearest FROM embeddings",
+        **dict.fromkeys(
+            ("aspect_classifier", "sentiment_classifier"),
+            " UNION ALL ".join(f"SELECT '{a}' AS aspect, true AS beats_constant" for a in ASPECTS),
+        ),
+        "tfidf_features": f"""WITH {LABELED}, t AS (SELECT review_id, unnest(string_split(lower(clean_text), ' ')) AS term FROM labeled),
+            f AS (SELECT review_id, term, count(*) AS tf FROM t GROUP BY ALL), d AS (SELECT term, count(*) AS df FROM f GROUP BY ALL)
+            SELECT review_id, term, tf, round(ln((n + 1.0) / (df + 1)), 9) AS idf
+            FROM f JOIN d USING (term), (SELECT count(*) AS n FROM labeled)""",
         # report
         "executive_report": f"""WITH {DENSE},
             neg AS (SELECT aspect, round(pct, 2) AS neg FROM shares WHERE sentiment = 'Negatif')
