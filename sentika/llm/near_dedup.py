@@ -7,9 +7,10 @@ full sets.
 
 Documents with the same set are one class and are compared once. Within a bucket every member is
 first compared with one pivot. Members that are then in one component need no further comparison;
-in buckets that still hold several components, all pairs across components are compared. So a
-group of thousands of near copies costs about as many comparisons as it has members, and no
-proposed pair between components is left out.
+in buckets that still hold several, the others are compared with the members of the largest, again
+and again while that finds links, and at last with each other. So a group of thousands of near
+copies costs about as many comparisons as it has members, and no proposed pair between components
+is left out.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentika.llm.common import ASCII_LOWER, blocks_of, mix64, written
@@ -32,8 +33,8 @@ BANDS, ROWS = 40, 5
 #: Similarity in percent from which documents are linked.
 PERCENT = 75
 #: One bit of each of the 200 coordinates: pairs at the threshold agree in 175 on average, with a
-#: deviation of 4.7; pairs below 145 are ruled out before their texts are fetched.
-LEAST_BITS = 145
+#: deviation of 4.7; pairs below 150 are ruled out before their texts are fetched.
+LEAST_BITS = 150
 SKETCH = "id long, text_key long, n long, set_hash binary, bits array<long>, bands array<long>"
 
 
@@ -161,8 +162,7 @@ class NearDuplicates:
         return written(banded.join(shared, "key"), "buckets")
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
-        """The pairs of classes ``a < b`` whose full sets are similar enough."""
-        pairs = written(pairs.distinct(), "pairs")
+        """The pairs of classes ``a < b`` (distinct, written) whose full sets are similar enough."""
         wanted = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
         holders = self.classes.select("c", "holder.id", "holder.text_key").join(wanted, "c")
         same = F.expr("t.id <=> h.id AND t.text_key = h.text_key")
@@ -176,44 +176,58 @@ class NearDuplicates:
     def labels(self, links: DataFrame) -> DataFrame:
         """``c, label`` of every class."""
         found = connected_components(links)
-        return self.classes.select("c").join(found, F.col("c") == F.col("node"), "left").select(
+        labels = self.classes.select("c").join(found, F.col("c") == F.col("node"), "left").select(
             "c", F.coalesce("component", "c").alias("label")
         )
+        return written(labels, "labels")
 
-    def across(self, buckets: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs of a bucket that are in different components, but for what size and bits rule out.
-
-        The members of a bucket's largest component are met by all others and not by each other.
-        """
+    def open_members(self, buckets: DataFrame, labels: DataFrame) -> DataFrame:
+        """``key, c, label, n, bits, main`` of buckets with several components; ``main`` is the largest."""
         known = self.classes.select("c", "n", "bits").join(labels, "c")
-        open_ = (
-            buckets.join(labels.withColumnRenamed("c", "_c"), F.col("c") == F.col("_c"))
-            .groupBy("key")
-            .agg(F.min("label").alias("low"), F.max("label").alias("high"))
-            .where("low < high")
-            .select("key")
+        labelled = buckets.select("key", "c").join(labels, "c")
+        sizes = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
+        several = sizes.groupBy("key").agg(
+            F.max(F.struct("size", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("components")
         )
-        members = written(buckets.join(open_, "key").join(known, "c"), "open-buckets")
-        sizes = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
-        largest = sizes.groupBy("key").agg(F.max(F.struct("size", "label"))["label"].alias("main"))
-        strays = members.join(largest, "key").where("label <> main").drop("main")
-        pair = strays.alias("s").join(members.join(largest, "key").alias("m"), "key")
-        agree = sum((F.bit_count(F.col("s.bits")[k].bitwiseXOR(F.col("m.bits")[k])) for k in range(-(-BANDS * ROWS // 64))), F.lit(0))
+        several = written(several.where("components > 1").select("key", "main"), "open-buckets")
+        return written(buckets.select("key", "c").join(several, "key").join(known, "c"), "open-members")
+
+    def pairs(self, members: DataFrame, other: Column, tested: DataFrame) -> DataFrame:
+        """Untested pairs of a bucket, a stray ``s`` of it and an ``other`` member ``m``, in different
+        components, but for what size and bits rule out."""
+        pair = members.where("label <> main").alias("s").join(members.alias("m"), "key")
+        words = range(-(-BANDS * ROWS // 64))
+        differ = sum((F.bit_count(F.col("s.bits")[k].bitwiseXOR(F.col("m.bits")[k])) for k in words), F.lit(0))
         wanted = (
             (F.col("s.label") != F.col("m.label"))
-            & ((F.col("m.label") == F.col("m.main")) | (F.col("s.c") < F.col("m.c")))
+            & other
             & (100 * F.least("s.n", "m.n") >= PERCENT * F.greatest("s.n", "m.n"))
-            & (agree <= BANDS * ROWS - LEAST_BITS)
+            & (differ <= BANDS * ROWS - LEAST_BITS)
         )
-        return pair.where(wanted).select(F.least("s.c", "m.c").alias("a"), F.greatest("s.c", "m.c").alias("b")).distinct()
+        found = pair.where(wanted).select(F.least("s.c", "m.c").alias("a"), F.greatest("s.c", "m.c").alias("b"))
+        return written(found.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
 
     def grouped(self) -> DataFrame:
+        """``set_hash, label, component_id`` of every class."""
         buckets = self.buckets()
         stars = buckets.where("c <> pivot").select(F.col("pivot").alias("a"), F.col("c").alias("b")).distinct()
-        links = self.confirm(stars)
-        more = self.across(buckets, self.labels(links)).join(links, ["a", "b"], "left_anti")
-        links = links.unionByName(self.confirm(more))
-        labels = written(self.labels(links), "labels")
+        tested = written(stars, "pairs")
+        links = self.confirm(tested)
+        # strays meet the largest component of their bucket as long as that links any: near copies
+        # of one text that are not near each other come together by that text
+        while True:
+            labels = self.labels(links)
+            members = self.open_members(buckets, labels)
+            more = self.pairs(members, F.col("m.label") == F.col("m.main"), tested)
+            found = self.confirm(more)
+            tested, links, buckets = tested.unionByName(more), links.unionByName(found), members
+            if not found.limit(1).count():
+                break
+        # then all that is still apart
+        rest = self.pairs(members, (F.col("m.label") != F.col("m.main")) & (F.col("s.c") < F.col("m.c")), tested)
+        last = self.confirm(rest)
+        if last.limit(1).count():
+            labels = self.labels(links.unionByName(last))
         named = self.classes.select("c", "set_hash", "first_id").join(labels, "c")
         lowest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
         return named.join(lowest, "label").select("set_hash", "label", "component_id")

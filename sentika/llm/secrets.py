@@ -129,7 +129,8 @@ def scan(
     fresh = found.groupBy("sha").agg(F.first("findings").alias("findings"))
     fresh.select("sha", F.lit(version).alias("rule_version"), "findings").write.mode("append").parquet(ledger_path)
     known = read_ledger(spark, ledger_path).where((F.col("rule_version") == version) & (F.size("findings") > 0))
-    once = known.groupBy("sha").agg(F.first("findings").alias("findings"))
+    # written, so that a blob with very many paths can be split in the join
+    once = written(known.groupBy("sha").agg(F.first("findings").alias("findings")), "blob-findings")
     return paths.join(once, "sha", "left").select(
         F.col("id").alias(id_col), "sha", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings")
     )
