@@ -356,3 +356,12 @@ def test_lexicon_without_terms(spark):
     df = spark.createDataFrame([("anything",)], "clean_text string")
     row = label_reviews(df, Lexicon({"A": []}), rating_col=None).first()
     assert (row.aspects, row.sentiment_rule) == (["GENERAL"], "Netral")
+
+
+def test_a_broken_model_does_not_beat_the_constant(spark):
+    from sentika.operators.models import beats_constant
+
+    rows = [(i % 3, [0.8 if c == i % 3 else 0.1 for c in range(3)], [0.1 if c == i % 3 else 0.45 for c in range(3)]) for i in range(90)]
+    df = spark.createDataFrame(rows, "label int, good array<double>, bad array<double>")
+    row = df.agg(*[beats_constant(df, F.col("label"), F.col(c), 3).alias(c) for c in ("good", "bad")]).first()
+    assert row.good and not row.bad
