@@ -80,10 +80,27 @@ def pieces(path: str) -> Callable[[list[str]], list[int]]:
     return lambda words: [len(e.ids) for e in library.encode_batch_fast(words, add_special_tokens=False)]
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], max_bytes: int) -> Iterator[tuple[list, list[bytes]]]:
+    """Ids and texts of several batches together, up to about ``max_bytes`` of text."""
+    ids: list = []
+    held: list[bytes] = []
+    size = 0
+    for batch, texts in blocks_of(batches, "text", max_bytes):
+        own = sum(map(len, texts))
+        if held and size + own > max_bytes:
+            yield ids, held
+            ids, held, size = [], [], 0
+        ids += batch.column(0).to_pylist()
+        held += texts
+        size += own
+    if held:
+        yield ids, held
+
+
 def _blocks(path: str, max_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = pretokens(path)
-        for batch, texts in blocks_of(batches, "text", max_bytes):
+        for ids, texts in _gathered(batches, max_bytes):
             at: dict[str, int] = {}
             lengths, refs, times = [], [], []
             for b in texts:
@@ -99,7 +116,7 @@ def _blocks(path: str, max_bytes: int):
             yield pa.record_batch(
                 {
                     "block": pa.array([uuid.uuid4().int >> 65], pa.int64()),  # files hold one attempt's number
-                    "ids": pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())),
+                    "ids": pa.array([ids], pa.list_(pa.int64())),
                     "n_bytes": pa.array([[len(b) for b in texts]], pa.list_(pa.int64())),
                     "tokens": pa.array([list(at)], pa.list_(pa.string())),
                     **{k: pa.array([_packed(v)], pa.binary()) for k, v in zip(("lengths", "refs", "times"), flat, strict=True)},
