@@ -7,8 +7,8 @@ full sets.
 
 Documents with the same set are one class and are compared once. Within a bucket every member is
 first compared with one pivot. Members that are then in one component need no further comparison;
-in buckets that still hold several, the others are compared with the members of the largest, again
-and again while that finds links, and at last with each other. So a group of thousands of near
+in buckets that still hold several, the others are compared with the most linked member of the
+largest, again and again while that finds links, and at last with all members of other components. So a group of thousands of near
 copies costs about as many comparisons as it has members, and no proposed pair between components
 is left out.
 """
@@ -192,10 +192,18 @@ class NearDuplicates:
         several = written(several.where("components > 1").select("key", "main"), "open-buckets")
         return written(buckets.select("key", "c").join(several, "key").join(known, "c"), "open-members")
 
-    def pairs(self, members: DataFrame, other: Column, tested: DataFrame) -> DataFrame:
-        """Untested pairs of a bucket, a stray ``s`` of it and an ``other`` member ``m``, in different
+    def hubs(self, members: DataFrame, links: DataFrame) -> DataFrame:
+        """Of each bucket's largest component the member with the most links."""
+        ends = links.select(F.col("a").alias("c")).unionAll(links.select(F.col("b").alias("c")))
+        degree = ends.groupBy("c").agg(F.count(F.lit(1)).alias("degree"))
+        mains = members.where("label = main").join(degree, "c", "left")
+        best = F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "c", "n", "bits", "label"))
+        return mains.groupBy("key").agg(best.alias("h")).select("key", "h.c", "h.n", "h.bits", "h.label")
+
+    def pairs(self, members: DataFrame, others: DataFrame, other: Column, tested: DataFrame) -> DataFrame:
+        """Untested pairs of a bucket, a stray ``s`` of it and one ``m`` of ``others``, in different
         components, but for what size and bits rule out."""
-        pair = members.where("label <> main").alias("s").join(members.alias("m"), "key")
+        pair = members.where("label <> main").alias("s").join(others.alias("m"), "key")
         words = range(-(-BANDS * ROWS // 64))
         differ = sum((F.bit_count(F.col("s.bits")[k].bitwiseXOR(F.col("m.bits")[k])) for k in words), F.lit(0))
         wanted = (
@@ -213,19 +221,20 @@ class NearDuplicates:
         stars = buckets.where("c <> pivot").select(F.col("pivot").alias("a"), F.col("c").alias("b")).distinct()
         tested = written(stars, "pairs")
         links = self.confirm(tested)
-        # strays meet the largest component of their bucket as long as that links any: near copies
-        # of one text that are not near each other come together by that text
+        # strays meet the hub of their bucket's largest component as long as that links any: near
+        # copies of one text that are not near each other come together by that text
+        any_other = F.lit(True)
         while True:
             labels = self.labels(links)
             members = self.open_members(buckets, labels)
-            more = self.pairs(members, F.col("m.label") == F.col("m.main"), tested)
+            more = self.pairs(members, self.hubs(members, links), any_other, tested)
             found = self.confirm(more)
             tested, links, buckets = tested.unionByName(more), links.unionByName(found), members
             if not found.limit(1).count():
                 break
-        # then all that is still apart
-        rest = self.pairs(members, (F.col("m.label") != F.col("m.main")) & (F.col("s.c") < F.col("m.c")), tested)
-        last = self.confirm(rest)
+        # then everything that is still apart, each pair once
+        later = (F.col("m.label") == F.col("m.main")) | (F.col("s.c") < F.col("m.c"))
+        last = self.confirm(self.pairs(members, members, later, tested))
         if last.limit(1).count():
             labels = self.labels(links.unionByName(last))
         named = self.classes.select("c", "set_hash", "first_id").join(labels, "c")
