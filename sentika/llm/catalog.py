@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentika.llm import decontamination, mixing, near_dedup, secrets, sharding, substring_dedup, token_counts, toxicity, vector_search, warc
+from sentika.llm import (
+    decontamination,
+    mixing,
+    near_dedup,
+    periodic_runs,
+    secrets,
+    sharding,
+    substring_dedup,
+    token_counts,
+    toxicity,
+    vector_search,
+    warc,
+)
 from sentika.llm.common import table
 from sentika.session import scratch_path
 
@@ -112,6 +124,21 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document, a tenth of which is made periodic first."""
+    found = periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), plant=True)
+    best = periodic_runs.longest_run()
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        periodic_runs.run_digest().alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+        "n_words",
+    )
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -125,5 +152,6 @@ QUERIES: dict[str, Query] = {
         op8_hierarchical_mixing,
         op9_kmeans_tree,
         op10_suffix_dedup,
+        op13_periodic_runs,
     )
 }

@@ -24,6 +24,7 @@ KEYS = {
     "op7_toxic_spans": "doc_id bigint, held_out boolean, score double, predicted int",
     "op8_hierarchical_mixing": "doc_id bigint, tokens bigint, budget bigint, copies int",
     "op9_kmeans_tree": "query_id bigint, rank int, vec_id bigint, score double",
+    "op13_periodic_runs": "doc_id bigint, n_runs bigint, start bigint, length bigint, period bigint, exponent_milli bigint, runs_sha256 string, collapsed_sha256 string",
     "op10_suffix_dedup": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
 }
 
