@@ -23,9 +23,9 @@ def brute_force(words):
             while j + q < len(words) and words[j] == words[j + q]:
                 j += 1
             n = j + q - i
-            shorter = any(all(words[i + t] == words[i + t + p] for t in range(n - p)) for p in range(1, q))
-            if j > i and n >= max(6, 4 * q) and not shorter:
-                found.append((i, n, q))
+            if j > i and n >= max(6, 4 * q):
+                if not any(all(words[i + t] == words[i + t + p] for t in range(n - p)) for p in range(1, q)):
+                    found.append((i, n, q))
             i = j + 1
     return sorted(found, key=lambda r: (r[0], r[2]))
 
