@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sentika.llm import (
     decontamination,
+    hidden_markov,
     mixing,
     near_dedup,
     periodic_runs,
@@ -124,6 +125,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document under a hidden Markov model, beside its unigram score."""
+    return hidden_markov.score(table(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words in every document, a tenth of which is made periodic first."""
     found = periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), plant=True)
@@ -152,6 +158,7 @@ QUERIES: dict[str, Query] = {
         op8_hierarchical_mixing,
         op9_kmeans_tree,
         op10_suffix_dedup,
+        op11_hidden_markov,
         op13_periodic_runs,
     )
 }
