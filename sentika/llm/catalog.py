@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentika.llm import (
+    collocations,
     decontamination,
     hidden_markov,
     mixing,
@@ -130,6 +131,12 @@ def op11_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hidden_markov.score(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best phrases of two and three words of every language."""
+    best = collocations.collocations(table(spark, sf_dir, "documents"))
+    return best.withColumn("rank", F.col("rank").cast("long"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words in every document, a tenth of which is made periodic first."""
     found = periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), plant=True)
@@ -159,6 +166,7 @@ QUERIES: dict[str, Query] = {
         op9_kmeans_tree,
         op10_suffix_dedup,
         op11_hidden_markov,
+        op12_collocations,
         op13_periodic_runs,
     )
 }

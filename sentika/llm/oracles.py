@@ -116,10 +116,53 @@ SELECT doc_id, {keys}, tokens, budget, CAST(epochs + CASE WHEN rest > 0 AND upto
 FROM c
 """
 
+OP12 = f"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({LOWER.format(t="text")}, '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+),
+s AS (SELECT lang, [x FOR x IN string_split_regex(piece, '[\x20\x09]+') IF x <> ''] AS w FROM p),
+e AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM s WHERE len(w) > 0),
+g AS (
+  SELECT lang, k, w[i] AS w1, CASE WHEN k > 1 THEN w[i + 1] END AS w2, CASE WHEN k > 2 THEN w[i + 2] END AS w3, count(*) AS f
+  FROM e, (SELECT unnest([1, 2, 3]) AS k) WHERE i + k - 1 <= len(w) GROUP BY ALL
+),
+u AS (SELECT lang, w1, f FROM g WHERE k = 1),
+b AS (SELECT lang, w1, w2, f FROM g WHERE k = 2 AND f >= 10),
+t AS (SELECT lang, w1, w2, w3, f FROM g WHERE k = 3 AND f >= 10),
+longest AS (
+  SELECT lang, w1, w2, max(f) AS longer
+  FROM (SELECT lang, w1, w2, f FROM t UNION ALL SELECT lang, w2, w3, f FROM t) GROUP BY lang, w1, w2
+),
+c2 AS (
+  SELECT b.lang, b.w1 || ' ' || b.w2 AS phrase, b.f AS a, x.f AS l, y.f AS r
+  FROM b JOIN u x USING (lang, w1) JOIN u y ON y.lang = b.lang AND y.w1 = b.w2
+  LEFT JOIN longest z ON z.lang = b.lang AND z.w1 = b.w1 AND z.w2 = b.w2
+  WHERE z.longer IS NULL OR 100 * z.longer < 50 * b.f
+),
+c3 AS (
+  SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3 AS phrase, t.f AS a, u1.f AS l1, b1.f AS r1, b2.f AS l2, u2.f AS r2,
+         (1000000::HUGEINT * t.f * t.f) // (u1.f::HUGEINT * b1.f) AS s1, (1000000::HUGEINT * t.f * t.f) // (b2.f::HUGEINT * u2.f) AS s2
+  FROM t JOIN u u1 USING (lang, w1) JOIN u u2 ON u2.lang = t.lang AND u2.w1 = t.w3
+  JOIN b b1 ON b1.lang = t.lang AND b1.w1 = t.w2 AND b1.w2 = t.w3 JOIN b b2 ON b2.lang = t.lang AND b2.w1 = t.w1 AND b2.w2 = t.w2
+),
+every AS (
+  SELECT lang, phrase, a, l, r, (1000000::HUGEINT * a * a) // (l::HUGEINT * r) AS score FROM c2
+  UNION ALL
+  SELECT lang, phrase, a, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END, CASE WHEN s1 <= s2 THEN r1 ELSE r2 END, least(s1, s2) FROM c3
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM every
+)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN (SELECT lang, sum(f) AS n FROM u GROUP BY lang) USING (lang) WHERE rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontamination": OP2,
         "op6_warc_segments": OP6,
         "op8_hierarchical_mixing": _mixing(0.5, 4, 1),
+        "op12_collocations": OP12,
     }

@@ -25,6 +25,7 @@ KEYS = {
     "op8_hierarchical_mixing": "doc_id bigint, tokens bigint, budget bigint, copies int",
     "op9_kmeans_tree": "query_id bigint, rank int, vec_id bigint, score double",
     "op11_hidden_markov": "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
+    "op12_collocations": "lang string, rank bigint, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint",
     "op13_periodic_runs": "doc_id bigint, n_runs bigint, start bigint, length bigint, period bigint, exponent_milli bigint, runs_sha256 string, collapsed_sha256 string",
     "op10_suffix_dedup": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
 }
