@@ -40,12 +40,17 @@ class Lexicon:
         return [*self.aspects, GENERAL]
 
     @classmethod
-    def from_table(cls, table: DataFrame) -> "Lexicon":
+    def from_table(cls, table: DataFrame, max_rows: int = 100_000) -> "Lexicon":
         """Read a lexicon table into the driver, where it becomes literals of the plan.
 
-        Slang and stem tables of any size can stay tables: ``clean_reviews`` joins them.
+        Tables of any size can stay tables: ``clean_reviews`` joins slang and stems, and
+        ``dictionary_scan.label_reviews_by_table`` finds aspects and polarity with the same counts.
+        A table of more than ``max_rows`` rows is therefore not read.
         """
-        rows = sorted(table.select(*LEXICON.fieldNames()).collect(), key=lambda r: r.ord)
+        read = table.select(*LEXICON.fieldNames()).limit(max_rows + 1).collect()
+        if len(read) > max_rows:
+            raise ValueError("too large for literals: label with dictionary_scan.label_reviews_by_table")
+        rows = sorted(read, key=lambda r: r.ord)
         aspects: dict[str, list[str]] = {}
         polarity: dict[str, list[str]] = {"positive": [], "negative": []}
         slang, stems = {}, {}

@@ -15,7 +15,9 @@ from sentika.functions import labels as L
 from sentika.functions import text as X
 from sentika.lexicons import Lexicon, lexicon_terms
 from sentika.lexicons.sample import LANGUAGE_PROFILES, STOP_WORDS
+from sentika.operators import dictionary_scan as A
 from sentika.operators import distributions as D
+from sentika.operators import joint as T
 from sentika.operators import lookups as J
 from sentika.operators import metrics as M
 from sentika.operators import models as ML
@@ -642,6 +644,34 @@ def compile_lexicon(spark, sf):
     return counted.select("review_id", *[c for c in counted.columns if c.startswith("hits_")])
 
 
+def _corpus_lexicon(reviews: DataFrame) -> DataFrame:
+    """A large lexicon: every word of two texts or more by its length, and the first pair of words of every text."""
+    word = rf"[{X.WORD}]+"
+    text = F.lower(F.coalesce("review_text", F.lit("")))
+    words = reviews.select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(word), F.lit(0)))).alias("term"))
+    words = words.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    lengths = F.concat(F.lit("length "), F.least(F.length("term"), F.lit(9)).cast("string"))
+    pairs = reviews.select(F.regexp_extract(text, rf"({word} {word})", 1).alias("term")).where("term <> ''").distinct()
+    listed = words.select(lengths.alias("label"), "term").unionByName(pairs.select(F.lit("pair").alias("label"), "term"))
+    return listed.withColumn("ord", F.xxhash64("term"))
+
+
+@query
+def lexicon_counts(spark, sf):
+    """Hits of a lexicon made of the corpus' own words and pairs, in all texts."""
+    texts = V.spread_reviews(spark, sf)
+    terms = reliable_checkpoint(_corpus_lexicon(texts))
+    return A.lexicon_counts(texts, terms, "review_id", "review_text", part_terms=20_000)
+
+
+@query
+def label_reviews_by_table(spark, sf):
+    lexicon = LEXICON.to_table(spark)
+    rows = V.labeled(spark, sf).select("review_id", "clean_text", "rating")
+    labels = A.label_reviews_by_table(rows, lexicon, part_terms=20)
+    return _joined(labels, _counts_text(F.col("matched_keywords")).alias("hits"))
+
+
 @query
 def detect_aspects(spark, sf):
     return V.labeled(spark, sf).select("review_id", L.join_aspects(F.col("aspects")).alias("aspects"))
@@ -820,6 +850,50 @@ def sentiment_classifier(spark, sf):
     return _better(scored, checks)
 
 
+JOINT = T.JointConfig(num_features=1 << 12, epochs=4, batches=4, rate=0.1)
+
+
+def _labeled_by_words(spark, sf) -> DataFrame:
+    """Labels that the texts alone explain; the sample's stars are not related to them."""
+    texts = V.labeled(spark, sf).select("review_id", "clean_text")
+    return L.label_reviews(texts, LEXICON, rating_col=None, cleaned=True)
+
+
+@query
+def joint_training_log(spark, sf):
+    """The log that joint training wrote, read back: one line an epoch, whose loss falls, whose
+    scores its checkpoint gives again, and whose best line is the model that was kept."""
+    run = T.JointTraining(_labeled_by_words(spark, sf), ASPECTS, JOINT, "review_id", "clean_text")
+    trained = run.run()
+    log = jobs.training_curves_table(files.scan_training_log(spark, trained.log_path)).collect()
+    kept = next(i for i, m in enumerate(trained.checkpoints) if m is trained.model)
+    combined = [(r.val_aspect_f1_macro + r.val_sentiment_f1_avg) / 2 for r in log]
+    rows = []
+    for i, (r, model) in enumerate(zip(log, trained.checkpoints, strict=True)):
+        again = run.scores(model, "val")
+        same = abs(again[0] - r.val_aspect_f1_macro) < 1e-9 and abs(again[1] - r.val_sentiment_f1_avg) < 1e-9
+        rows.append((r.epoch, i == 0 or r.train_loss < log[i - 1].train_loss, same, combined[i] <= combined[kept]))
+    return spark.createDataFrame(rows, "epoch int, loss_falls boolean, scores_repeat boolean, kept_is_best boolean")
+
+
+@query
+def joint_training_loss(spark, sf):
+    """Both losses of the trained weights on rows that were held out, against those of the best
+    constants of the training rows; weighted by class as in training."""
+    run = T.JointTraining(_labeled_by_words(spark, sf), ASPECTS, JOINT, "review_id", "clean_text")
+    trained = run.run()
+    heads = F.arrays_zip("aspect_true", F.col("aspect_probs").alias("aspect_prob"), "sentiment_true", "sentiment_probs")
+    held = trained.model.transform(run.rows.where("split <> 'train'").drop("hashed")).select(F.posexplode(heads)).select("pos", "col.*")
+    train = run.rows.where("split = 'train'").select(F.posexplode(F.arrays_zip("aspect_true", "sentiment_true"))).select("pos", "col.*")
+    n = [F.count_if(F.col("sentiment_true") == c) * float(w) for c, w in enumerate(run.of_class)]
+    shares = F.array(*[(x + 1e-6) / (sum(n, F.lit(0.0)) + 3e-6) for x in n])
+    constants = train.groupBy("pos").agg(((F.sum("aspect_true") + 0.5) / (F.count(F.lit(1)) + 1)).alias("p"), shares.alias("q"))
+    flat = held.join(F.broadcast(constants), "pos").withColumns({"aspect_prob": F.col("p"), "sentiment_probs": F.col("q")})  # a row an aspect
+    own, constant = M.log_loss(held, run.of_class).first(), M.log_loss(flat, run.of_class).first()
+    names = ("aspect_loss", "sentiment_loss", "total_loss")
+    return spark.createDataFrame([(n, bool(own[n] < constant[n])) for n in names], "loss string, below_constant boolean")
+
+
 @query
 def train_evaluate(spark, sf):
     trained = ML.train_evaluate(V.labeled(spark, sf), ASPECTS, TRAINING)

@@ -301,6 +301,25 @@ def _rule(expression: str, before: str = "review_text") -> str:
     return reviews_only(f"SELECT review_id, {expression} AS after FROM (SELECT review_id, {before} AS b FROM reviews)")
 
 
+# Pairs that start two pieces apart overlap: of a chain of them every second one counts.
+LEXICON_COUNTS = rf"""
+, t AS (SELECT review_id, lower(coalesce(review_text, '')) AS t FROM reviews),
+w AS (SELECT review_id, unnest(regexp_extract_all(t, '[{WORD}]+')) AS term FROM t),
+known AS (SELECT term FROM w GROUP BY term HAVING count(DISTINCT review_id) > 1),
+pairs AS (SELECT DISTINCT regexp_extract(t, '[{WORD}]+ [{WORD}]+') AS term FROM t),
+p AS (SELECT review_id, regexp_extract_all(t, '[{WORD}]+|[^{WORD}]') AS p FROM t),
+j AS (SELECT review_id, p, unnest(range(1, len(p) - 1)) AS i FROM p),
+starts AS (SELECT review_id, i FROM j JOIN pairs ON pairs.term = p[i] || p[i + 1] || p[i + 2]
+           WHERE p[i + 1] = ' ' AND regexp_matches(p[i], '^[{WORD}]') AND regexp_matches(p[i + 2], '^[{WORD}]')),
+chains AS (SELECT review_id, c, count(*) AS n
+           FROM (SELECT review_id, i - 2 * row_number() OVER (PARTITION BY review_id, i % 2 ORDER BY i) AS c, i % 2 AS o FROM starts)
+           GROUP BY review_id, c, o)
+SELECT review_id, 'length ' || least(length(term), 9) AS label, count(*) AS hits FROM w JOIN known USING (term) GROUP BY ALL
+UNION ALL
+SELECT review_id, 'pair', CAST(sum((n + 1) // 2) AS BIGINT) FROM chains GROUP BY review_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     hit_lists = {f"hits_{i}": terms for i, terms in enumerate(LEXICON.aspects.values())}
     hit_lists |= {"hits_positive": LEXICON.positive, "hits_negative": LEXICON.negative}
@@ -477,6 +496,12 @@ def oracle_sql() -> dict[str, str]:
         "detect_language": f"WITH {LANG} SELECT review_id, guess FROM guesses",
         # labelling
         "compile_lexicon": reviews_only(f"SELECT review_id, {raw_hits} FROM reviews"),
+        "joint_training_log": "SELECT CAST(range AS INT) AS epoch, true AS loss_falls, true AS scores_repeat, true AS kept_is_best FROM range(1, 5)",
+        "joint_training_loss": "SELECT unnest(['aspect_loss', 'sentiment_loss', 'total_loss']) AS loss, true AS below_constant",
+        "lexicon_counts": reviews_only(LEXICON_COUNTS),
+        "label_reviews_by_table": labeled_only(
+            f"SELECT review_id, {JOINED} AS aspects, CAST(len(aspects) AS INT) AS aspect_count, sentiment_rule, {HITS_TEXT} AS hits, len(aspects) > 1 AS is_multilabel FROM labeled"
+        ),
         "detect_aspects": labeled_only(f"SELECT review_id, {JOINED} AS aspects FROM labeled"),
         "detect_sentiment": labeled_only("SELECT review_id, rating, sentiment_rule FROM labeled"),
         "matched_keywords": labeled_only(f"SELECT review_id, {HITS_TEXT} AS hits FROM labeled"),
