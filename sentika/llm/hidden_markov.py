@@ -98,22 +98,23 @@ class Lanes:
             ends = np.cumsum(lengths[texts])
             self.first[at[ends - lengths[texts]]] = True
             self.last[at[ends - 1]] = True
+        #: whether a text begins at a step
+        self.begins = np.add.reduceat(self.first, self.offset[:-1]) > 0
 
 
 def forward(lanes: Lanes, emitted: np.ndarray, start: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Scaled forward variables and the scale of each place; ``emitted`` is overwritten by the former."""
     scale = np.empty(len(emitted))
     before = emitted[:0]
-    offset = lanes.offset.tolist()
-    for t, n in enumerate(lanes.active.tolist()):
-        lo = offset[t]
+    ones = np.ones(len(start))
+    for lo, n, begins in zip(lanes.offset.tolist(), lanes.active.tolist(), lanes.begins.tolist(), strict=False):
         now = emitted[lo : lo + n]
-        ahead = before[:n] @ moves if t else np.empty_like(now)
-        ahead[lanes.first[lo : lo + n]] = start
+        ahead = before[:n] @ moves if lo else np.empty_like(now)
+        if begins:
+            ahead[lanes.first[lo : lo + n]] = start
         now *= ahead
-        total = now.sum(axis=1)
+        total = np.matmul(now, ones, out=scale[lo : lo + n])
         now /= total[:, None]
-        scale[lo : lo + n] = total
         before = now
     return emitted, scale
 
@@ -128,16 +129,18 @@ def expectations(lanes: Lanes, classes: np.ndarray, tables: Tables) -> tuple[np.
     states = len(tables.start)
     gamma = np.ones_like(alpha)  # backward variables at first
     moves = np.zeros((states, states))
-    offset, active = lanes.offset.tolist(), lanes.active.tolist()
+    offset, active, begins = lanes.offset.tolist(), lanes.active.tolist(), lanes.begins.tolist()
     back = tables.moves.T.copy()
     for t in range(len(active) - 1, 0, -1):
         n, lo, up = active[t], offset[t], offset[t - 1]
-        behind = emitted[lo : lo + n] * gamma[lo : lo + n]
-        behind[lanes.first[lo : lo + n]] = 0.0
+        behind = emitted[lo : lo + n]
+        behind *= gamma[lo : lo + n]
+        if begins[t]:
+            behind[lanes.first[lo : lo + n]] = 0.0
+        value = np.matmul(behind, back, out=gamma[up : up + n])
+        if begins[t]:
+            value[lanes.first[lo : lo + n]] = 1.0
         moves += alpha[up : up + n].T @ behind
-        value = behind @ back
-        value[lanes.first[lo : lo + n]] = 1.0
-        gamma[up : up + n] = value
     gamma *= alpha
     counts = np.stack([np.bincount(placed, weights=gamma[:, s], minlength=tables.classes) for s in range(states)])
     return gamma[lanes.first].sum(axis=0), moves * tables.moves, counts, float(np.log10(scale).sum())
@@ -169,6 +172,9 @@ def _remainder(doc_id: int | None, folds: int) -> int:
 def _block(ids: list, texts: list[bytes], folds: int, held_out: int) -> pa.RecordBatch:
     """One block: its texts as numbers of its different words, which are counted over its training texts."""
     parts = [t.translate(ASCII_LOWER).split() for t in texts]
+    # by length: texts that run side by side then end together
+    order = sorted(range(len(parts)), key=lambda i: -len(parts[i]))
+    ids, parts = [ids[i] for i in order], [parts[i] for i in order]
     for p in parts:
         p.append(END)
     lengths = np.array([len(p) for p in parts], np.int32)
