@@ -23,6 +23,7 @@ import heapq
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +62,11 @@ class Tables:
     def classes(self) -> int:
         return FREQUENT + TAILS + 1
 
+    @cached_property
+    def by_class(self) -> np.ndarray:
+        """Emissions of all states side by side, one row a class."""
+        return np.ascontiguousarray(self.emissions.T)
+
 
 def class_of(words: list[bytes], frequent: dict[bytes, int]) -> np.ndarray:
     """Class number of each word."""
@@ -104,9 +110,9 @@ class Lanes:
 
 def forward(lanes: Lanes, emitted: np.ndarray, start: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Scaled forward variables and the scale of each place; ``emitted`` is overwritten by the former."""
-    scale = np.empty(len(emitted))
+    scale = np.empty(len(emitted), emitted.dtype)
     before = emitted[:0]
-    ones = np.ones(len(start))
+    ones = np.ones(len(start), emitted.dtype)
     for lo, n, begins in zip(lanes.offset.tolist(), lanes.active.tolist(), lanes.begins.tolist(), strict=False):
         now = emitted[lo : lo + n]
         ahead = before[:n] @ moves if lo else np.empty_like(now)
@@ -119,18 +125,24 @@ def forward(lanes: Lanes, emitted: np.ndarray, start: np.ndarray, moves: np.ndar
     return emitted, scale
 
 
-def expectations(lanes: Lanes, classes: np.ndarray, tables: Tables) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected starts, moves and emissions (states x classes) of texts, and their log-likelihood."""
-    by_class = tables.emissions.T
-    placed = classes[lanes.token]
-    emitted = by_class[placed]
-    alpha, scale = forward(lanes, emitted.copy(), tables.start, tables.moves)
+def expectations(
+    lanes: Lanes, classes: np.ndarray, tables: Tables, kind: type = np.float64
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected starts, moves and emissions (states x classes) of texts, and their log-likelihood.
+
+    ``kind`` is that of the numbers between tokens. Emissions are taken relative to the class' best
+    state, which changes no expectation, so that single precision does not run out of range.
+    """
+    placed = classes[lanes.token].astype(np.int64)
+    best = tables.by_class.max(axis=1)
+    emitted = (tables.by_class / best[:, None]).astype(kind)[placed]
+    alpha, scale = forward(lanes, emitted.copy(), tables.start.astype(kind), tables.moves.astype(kind))
     emitted /= scale[:, None]
     states = len(tables.start)
     gamma = np.ones_like(alpha)  # backward variables at first
     moves = np.zeros((states, states))
     offset, active, begins = lanes.offset.tolist(), lanes.active.tolist(), lanes.begins.tolist()
-    back = tables.moves.T.copy()
+    back = tables.moves.T.astype(kind)
     for t in range(len(active) - 1, 0, -1):
         n, lo, up = active[t], offset[t], offset[t - 1]
         behind = emitted[lo : lo + n]
@@ -142,8 +154,10 @@ def expectations(lanes: Lanes, classes: np.ndarray, tables: Tables) -> tuple[np.
             value[lanes.first[lo : lo + n]] = 1.0
         moves += alpha[up : up + n].T @ behind
     gamma *= alpha
-    counts = np.stack([np.bincount(placed, weights=gamma[:, s], minlength=tables.classes) for s in range(states)])
-    return gamma[lanes.first].sum(axis=0), moves * tables.moves, counts, float(np.log10(scale).sum())
+    by_state = np.ascontiguousarray(gamma.T)
+    counts = np.stack([np.bincount(placed, weights=own, minlength=tables.classes) for own in by_state])
+    likelihood = float(np.log10(scale, dtype=np.float64).sum() + np.log10(best)[placed].sum())
+    return gamma[lanes.first].sum(axis=0, dtype=np.float64), moves * tables.moves, counts, likelihood
 
 
 def normalised(start: np.ndarray, moves: np.ndarray, counts: np.ndarray, shares: np.ndarray, frequent: dict[bytes, int]) -> Tables:
@@ -247,7 +261,7 @@ def _summed(tables: Tables):
                 bounds = np.concatenate([[0], np.cumsum(lengths)])
                 for texts in _runs(lengths):
                     own = classes[tokens[bounds[texts.start] : bounds[texts.stop]]]
-                    found = expectations(Lanes(lengths[texts]), own, tables)
+                    found = expectations(Lanes(lengths[texts]), own, tables, np.float32)
                     start += found[0]
                     moves += found[1]
                     counts += found[2]
@@ -326,7 +340,6 @@ def _scored(tables: Tables, tokens: np.ndarray, words: np.ndarray):
     alone[FREQUENT : FREQUENT + TAILS] = False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_class = np.ascontiguousarray(tables.emissions.T)
         for batch in batches:
             for row in range(batch.num_rows):
                 vocabulary = batch.column("words")[row].values.to_pylist()
@@ -346,7 +359,7 @@ def _scored(tables: Tables, tokens: np.ndarray, words: np.ndarray):
                     own = slice(begins[texts.start], begins[texts.stop - 1] + lengths[texts.stop - 1])
                     lanes = Lanes(lengths[texts])
                     placed = classes[numbers[own]][lanes.token]
-                    _, scale = forward(lanes, by_class[placed], tables.start, tables.moves)
+                    _, scale = forward(lanes, tables.by_class[placed], tables.start, tables.moves)
                     text = np.repeat(np.arange(len(lengths[texts])), lengths[texts])[lanes.token]
                     score[texts] += np.bincount(text, weights=np.log10(scale), minlength=len(lengths[texts]))
                 yield pa.record_batch(
