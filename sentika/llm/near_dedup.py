@@ -8,9 +8,15 @@ full sets.
 Documents with the same set are one class and are compared once. Within a bucket every member is
 first compared with one pivot. Members that are then in one component need no further comparison;
 in buckets that still hold several, the others are compared with the most linked member of the
-largest, again and again while that finds links, and at last with all members of other components. So a group of thousands of near
-copies costs about as many comparisons as it has members, and no proposed pair between components
-is left out.
+largest, again and again while that finds links.
+
+What is still apart in some bucket is joined exactly, by prefixes. With shingles in one order, rare
+ones first, two sets of ``n`` and ``m`` shingles that share ``k`` or more share one of the first
+``n - k + 1`` of the one and ``m - k + 1`` of the other. Shingles that stand in no other open set take
+the first places and match nothing, so copies that each have edits of their own meet hardly any
+other, however many there are; size and place of the first common shingle rule out more. So a
+group of thousands of near copies costs about as many comparisons as it has members, and no
+similar pair of open classes is left out, whether a band proposed it or not.
 """
 
 from __future__ import annotations
@@ -20,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentika.llm.common import ASCII_LOWER, blocks_of, mix64, written
@@ -139,6 +145,18 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, texts in blocks_of(batches, "text", 1 << 20):
+        sets = [shingle_hashes(t) for t in texts]
+        sizes = np.array([len(x) for x in sets])
+        yield pa.record_batch(
+            {
+                "c": batch.column(0).take(pa.array(np.repeat(np.arange(len(sets)), sizes))),
+                "shingle": pa.array(np.concatenate(sets).view(np.int64)),
+            }
+        )
+
+
 class NearDuplicates:
     """The steps of one run; every table between them is written to shared storage."""
 
@@ -161,14 +179,17 @@ class NearDuplicates:
         shared = written(shared.select("key", "pivot"), "shared-buckets")
         return written(banded.join(shared, "key"), "buckets")
 
-    def confirm(self, pairs: DataFrame) -> DataFrame:
-        """The pairs of classes ``a < b`` (distinct, written) whose full sets are similar enough."""
-        wanted = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
+    def texts_of(self, wanted: DataFrame) -> DataFrame:
+        """``c, text`` of the wanted classes, by one of their rows."""
         holders = self.classes.select("c", "holder.id", "holder.text_key").join(wanted, "c")
         same = F.expr("t.id <=> h.id AND t.text_key = h.text_key")
-        texts = self.texts.alias("t").join(holders.alias("h"), same).select("c", "text")
         # rows that repeat a holder's id and text are one text
-        texts = written(texts.dropDuplicates(["c"]), "pair-texts")
+        return self.texts.alias("t").join(holders.alias("h"), same).select("c", "text").dropDuplicates(["c"])
+
+    def confirm(self, pairs: DataFrame) -> DataFrame:
+        """The pairs of classes ``a < b`` (distinct, written) whose full sets are similar enough."""
+        wanted = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
+        texts = written(self.texts_of(wanted), "pair-texts")
         side = lambda x: texts.select(F.col("c").alias(x), F.col("text").alias(f"text_{x}"))
         both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
         return written(both.mapInArrow(_verified, "a long, b long"), "confirmed")
@@ -200,21 +221,55 @@ class NearDuplicates:
         best = F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "c", "n", "bits", "label"))
         return mains.groupBy("key").agg(best.alias("h")).select("key", "h.c", "h.n", "h.bits", "h.label")
 
-    def pairs(self, members: DataFrame, others: DataFrame, other: Column, tested: DataFrame) -> DataFrame:
-        """Untested pairs of a bucket, a stray ``s`` of it and one ``m`` of ``others``, in different
-        components, but for what size and bits rule out."""
-        pair = members.where("label <> main").alias("s").join(others.alias("m"), "key")
+    def hub_pairs(self, members: DataFrame, hubs: DataFrame, tested: DataFrame) -> DataFrame:
+        """Untested pairs of a bucket's stray ``s`` and its hub ``m``, but for what size and bits rule out."""
+        pair = members.where("label <> main").alias("s").join(hubs.alias("m"), "key")
         words = range(-(-BANDS * ROWS // 64))
         differ = sum((F.bit_count(F.col("s.bits")[k].bitwiseXOR(F.col("m.bits")[k])) for k in words), F.lit(0))
         wanted = (
             (F.col("s.label") != F.col("m.label"))
-            & other
             & (100 * F.least("s.n", "m.n") >= PERCENT * F.greatest("s.n", "m.n"))
             & (differ <= BANDS * ROWS - LEAST_BITS)
         )
         found = pair.where(wanted).select(F.least("s.c", "m.c").alias("a"), F.greatest("s.c", "m.c").alias("b"))
         return written(found.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
 
+    def prefixes(self, members: DataFrame) -> DataFrame:
+        """``shingle, c, n, label, place`` of the open classes' first shingles, rare ones first.
+
+        Places follow how many open classes hold a shingle; those that one class alone holds come
+        first and are counted, not listed. A class with more than a quarter of them is like no other.
+        """
+        open_ = members.groupBy("c").agg(F.first("n").alias("n"), F.first("label").alias("label"))
+        open_ = written(open_, "open-classes")
+        rows = written(self.texts_of(open_.select("c")).mapInArrow(_shingles, "c long, shingle long"), "open-shingles")
+        held = written(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "common-shingles")
+        common = rows.join(held, "shingle")
+        place = F.row_number().over(Window.partitionBy("c").orderBy("held", "shingle"))
+        listed = common.withColumn("place", place).withColumn("listed", F.count(F.lit(1)).over(Window.partitionBy("c")))
+        placed = listed.join(open_, "c").withColumn("place", F.col("place") + F.col("n") - F.col("listed"))
+        return written(placed.where(100 * (F.col("n") - F.col("place") + 1) >= PERCENT * F.col("n")).drop("held", "listed"), "prefixes")
+
+    def prefix_pairs(self, members: DataFrame, tested: DataFrame) -> DataFrame:
+        """Untested pairs of open classes of different components that their prefixes allow to be similar.
+
+        ``s`` is the smaller set (of equals the one with the smaller number). Its shared shingles are
+        ``PERCENT / (100 + PERCENT)`` of both sizes at least, which shortens its prefix further.
+        """
+        prefixes = self.prefixes(members)
+        both = 100 + PERCENT
+        short = prefixes.where(both * (F.col("n") - F.col("place") + 1) >= 2 * PERCENT * F.col("n"))
+        rest = F.least(F.col("s.n") - F.col("s.place"), F.col("m.n") - F.col("m.place")) + 1
+        wanted = (
+            (F.col("s.label") != F.col("m.label"))
+            & ((F.col("s.n") < F.col("m.n")) | ((F.col("s.n") == F.col("m.n")) & (F.col("s.c") < F.col("m.c"))))
+            & (100 * F.col("s.n") >= PERCENT * F.col("m.n"))
+            & (both * rest >= PERCENT * (F.col("s.n") + F.col("m.n")))
+        )
+        pair = written(short, "short-prefixes").alias("s").join(prefixes.alias("m"), "shingle").where(wanted)
+        found = pair.select(F.least("s.c", "m.c").alias("a"), F.greatest("s.c", "m.c").alias("b"))
+        return written(found.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+
     def grouped(self) -> DataFrame:
         """``set_hash, label, component_id`` of every class."""
         buckets = self.buckets()
@@ -223,18 +278,16 @@ class NearDuplicates:
         links = self.confirm(tested)
         # strays meet the hub of their bucket's largest component as long as that links any: near
         # copies of one text that are not near each other come together by that text
-        any_other = F.lit(True)
         while True:
             labels = self.labels(links)
             members = self.open_members(buckets, labels)
-            more = self.pairs(members, self.hubs(members, links), any_other, tested)
+            more = self.hub_pairs(members, self.hubs(members, links), tested)
             found = self.confirm(more)
             tested, links, buckets = tested.unionByName(more), links.unionByName(found), members
             if not found.limit(1).count():
                 break
         # then everything that is still apart, each pair once
-        later = (F.col("m.label") == F.col("m.main")) | (F.col("s.c") < F.col("m.c"))
-        last = self.confirm(self.pairs(members, members, later, tested))
+        last = self.confirm(self.prefix_pairs(members, tested))
         if last.limit(1).count():
             labels = self.labels(links.unionByName(last))
         named = self.classes.select("c", "set_hash", "first_id").join(labels, "c")

@@ -7,7 +7,9 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from llm_rows import BASE, ROWS, WORDS, documents
+from pyspark.sql import functions as F
 
 from sentika.llm import near_dedup, substring_dedup, vector_search
 from sentika.llm.components import connected_components
@@ -198,3 +200,57 @@ def test_few_or_no_candidates(spark):
 
 def test_base_text_is_near_its_copy():
     assert _groups([(1, BASE), (2, BASE + " more")])[(2, 57, 1, False)] == 1
+
+
+@pytest.mark.parametrize("edits, pairs_per_copy", [(1, 12), (3, 15)])
+def test_near_copies_of_one_text_are_compared_in_proportion(spark, monkeypatch, edits, pairs_per_copy):
+    """Every link is kept, and compared pairs do not grow with the square of a group."""
+    compared = []
+    confirm = near_dedup.NearDuplicates.confirm
+
+    def counting(self, pairs):
+        compared.append(pairs.count())
+        return confirm(self, pairs)
+
+    monkeypatch.setattr(near_dedup.NearDuplicates, "confirm", counting)
+    for n in (250, 1000):
+        rnd = random.Random(edits)
+        texts = []
+        for i in range(n):
+            words = [f"b{k}" for k in range(60)]
+            for e in rnd.sample(range(60), edits if i else 0):
+                words[e] = f"e{i}x{e}"
+            texts.append(words)
+        sets = [frozenset(tuple(w[k : k + 5]) for k in range(56)) for w in texts]
+        name = list(range(n))
+        for b in range(n):  # the smallest reachable number
+            linked = {name[a] for a in range(b) if 175 * len(sets[a] & sets[b]) >= 75 * 112}
+            if linked:
+                least = min(linked)
+                name = [least if x in linked or k == b else x for k, x in enumerate(name)]
+        compared.clear()
+        df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+        assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df).collect()} == dict(enumerate(name))
+        assert sum(compared) <= pairs_per_copy * n
+
+
+def test_classes_that_no_pivot_joins_are_found_by_their_prefixes(spark):
+    """Pairs among open classes are joined exactly: nothing is left to bands or bits."""
+    rnd = random.Random(9)
+    vocabulary = [f"v{k}" for k in range(30)]
+    texts = [" ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(3, 25))) for _ in range(40)]
+    for k in range(160):
+        words = texts[k].split()
+        for _ in range(rnd.randint(0, 2)):
+            words[rnd.randrange(len(words))] = rnd.choice(vocabulary)
+        texts.append(" ".join(words[: len(words) - rnd.randint(0, 1)]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    run = near_dedup.NearDuplicates(df, "doc_id", "text")
+    members = run.classes.select("c", "n").withColumn("label", F.col("c"))
+    none = spark.createDataFrame([], "a long, b long")
+    found = run.confirm(run.prefix_pairs(members, none)).collect()
+    sets = {r.c: set(near_dedup.shingle_hashes(texts[r.id].encode()).tolist()) for r in run.classes.select("c", "holder.id").collect()}
+    expected = {
+        (a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
+    }
+    assert {(r.a, r.b) for r in found} == expected and len(expected) > 30
