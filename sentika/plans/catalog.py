@@ -945,8 +945,12 @@ def standardize(spark, sf):
 
 @query
 def ridge_cv(spark, sf):
-    coefs, metrics = R.ridge_cv(_folded(spark, sf), R.feature_names(ASPECTS))
-    return coefs.withColumns({name: F.lit(value) for name, value in metrics.items()})
+    """The chosen fit, at six digits."""
+    found = R.ridge_table(_folded(spark, sf), R.feature_names(ASPECTS))
+    numbers = ["coefficient", "abs_coef", "r2", "rmse", "cv_r2", "alpha"]
+    # the sign of a coefficient of zero is not a property of the fit
+    direction = F.when(F.col("abs_coef") > 1e-9, F.col("direction"))
+    return found.withColumn("direction", direction).withColumns({c: F.round(c, 6) + 0.0 for c in numbers})
 
 
 @query
@@ -979,6 +983,18 @@ def executive_report(spark, sf):
     return jobs.report_rows(V.labeled(spark, sf), ASPECTS)
 
 
+@query
+def report_regression(spark, sf):
+    """The report's regression section, written with the whole document and read back."""
+    labeled = V.labeled(spark, sf)
+    _, measures = R.ridge_cv(_folded(spark, sf), R.feature_names(ASPECTS))
+    path = scratch_path(spark, "report")
+    files.write_json(jobs.report_document(jobs.report_rows(labeled, ASPECTS, measures)), path)
+    document = spark.read.schema("report string").json(path)
+    section = F.from_json("report", "regresi_ridge map<string,double>")["regresi_ridge"]
+    return document.select(F.explode(section).alias("measure", "value")).withColumn("value", F.round("value", 6))
+
+
 @query
 def training_curves_table(spark, sf):
     curves = jobs.training_curves_table(scan_training_log(spark, sf))

@@ -268,6 +268,41 @@ def _gram() -> str:
     )
 
 
+def _ridge(select: str) -> str:
+    """The ridge fits from the rows themselves: one table of the standardised columns in long form,
+    its cross-products, and a recursion that clears one pivot a step."""
+    k = len(FEATURES)
+    mean = {c: f'avg("{c}") OVER ()' for c in FEATURES}
+    scaled = ", ".join(
+        f'("{c}" - {mean[c]}) / CASE WHEN stddev_pop("{c}") OVER () < 1e-12 THEN 1 ELSE stddev_pop("{c}") OVER () END AS x{i}'
+        for i, c in enumerate(FEATURES)
+    )
+    names = [f"x{i}" for i in range(k)] + ["y"]
+    train = ", ".join(f"avg({c}) AS m_{c}" for c in names)
+    matrix = ", ".join(
+        "[" + ", ".join(f"sum(({a} - m_{a}) * ({b} - m_{b}))" + (" + alpha" if a == b else "") for b in names) + "]" for a in names[:-1]
+    )
+    guess = "m_y + " + " + ".join(f"coef[{i + 1}] * (x{i} - m_x{i})" for i in range(k))
+    feature = ", ".join(q(f) for f in FEATURES)
+    return f"""WITH RECURSIVE {REG}, folded AS (SELECT *, CAST(floor({unit('fold', 'doc_id')} * 5) AS INT) AS fold FROM reg),
+        scaled AS (SELECT fold, CAST(rating AS DOUBLE) AS y, {scaled} FROM folded),
+        grid AS (SELECT pow(10, -3 + 6.0 * i / 49) AS alpha FROM range(50) t(i)),
+        parts AS (SELECT DISTINCT fold AS part FROM scaled UNION ALL SELECT -1),
+        means AS (SELECT part, {train} FROM parts, scaled WHERE fold <> part GROUP BY part),
+        cross_ AS (SELECT part, alpha, [{matrix}] AS m FROM means, scaled, grid WHERE fold <> part GROUP BY part, alpha),
+        steps AS (
+          SELECT part, alpha, 1 AS i, m FROM cross_
+          UNION ALL SELECT part, alpha, i + 1, list_transform(m, lambda r, j: list_transform(r, lambda x, c:
+            CASE WHEN j = i THEN x / m[i][i] ELSE x - r[i] * m[i][c] / m[i][i] END)) FROM steps WHERE i <= {k}),
+        fits AS (SELECT part, alpha, list_transform(m, lambda r: r[{k + 1}]) AS coef FROM steps WHERE i = {k + 1}),
+        errors AS (SELECT part, alpha, any_value(coef) AS coef, sum((y - ({guess})) ** 2) AS e, count(*) AS n, count(*) * var_pop(y) AS total
+          FROM fits JOIN means USING (part) JOIN scaled ON fold = part OR part = -1 GROUP BY part, alpha),
+        cv AS (SELECT alpha, avg(1 - e / total) AS cv_r2 FROM errors WHERE part >= 0 AND total > 1e-9 GROUP BY alpha),
+        best AS (SELECT alpha, cv_r2, 1 - e / total AS r2, sqrt(e / n) AS rmse, unnest([{feature}]) AS feature, unnest(coef) AS coefficient
+          FROM errors JOIN (SELECT * FROM cv ORDER BY cv_r2 DESC, alpha LIMIT 1) USING (alpha) WHERE part = -1)
+        {select}"""
+
+
 def _slopes() -> str:
     return " UNION ALL ".join(
         f"SELECT '{f}' AS feature, coalesce(covar_pop(rating, \"{f}\") / nullif(var_pop(\"{f}\"), 0), 0) AS coefficient FROM reg"
@@ -431,6 +466,15 @@ def oracle_sql() -> dict[str, str]:
             FROM class_f1 JOIN acc USING (aspect)""",
         "epoch_mean_loss": "SELECT CAST(dayofmonth(ts) AS INT) AS epoch, round(avg(value), 9) AS train_loss, count(*) AS steps FROM events GROUP BY ALL",
         "gram_matrix": _gram(),
+        "ridge_cv": _ridge(
+            """SELECT feature, round(coefficient, 6) + 0.0 AS coefficient, round(abs(coefficient), 6) AS abs_coef,
+            CASE WHEN coefficient > 1e-9 THEN 'Positif (↑ Rating)' WHEN coefficient < -1e-9 THEN 'Negatif (↓ Rating)' END AS direction,
+            round(r2, 6) AS r2, round(rmse, 6) AS rmse, round(cv_r2, 6) AS cv_r2, round(alpha, 6) AS alpha FROM best"""
+        ),
+        "report_regression": _ridge(
+            """, one AS (SELECT DISTINCT r2, rmse, cv_r2, alpha FROM best)
+            SELECT measure, round(value, 6) AS value FROM (SELECT unnest(['r2', 'rmse', 'cv_r2', 'alpha']) AS measure, unnest([r2, rmse, cv_r2, alpha]) AS value FROM one)"""
+        ),
         "regression_metrics": f"""WITH {LABELED}, r AS (SELECT rating, 3 + {MOOD_SCORE.format('sentiment_rule')} AS prediction FROM labeled WHERE rating IS NOT NULL)
             SELECT round(1 - sum((rating - prediction) ** 2) / (count(*) * var_pop(rating)), 9) AS r2,
               round(sqrt(avg((rating - prediction) ** 2)), 9) AS rmse FROM r""",
