@@ -19,6 +19,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sentika.llm.common import written
+from sentika.session import scratch_path
+
 SEGMENT_BYTES = 32 << 10
 CHUNK_BYTES = 8 << 10
 #: With the segment size, bounds an archive file: about 32 MB before compression.
@@ -28,6 +31,8 @@ RECORD = (
     "record_id string, type string, origin_id string, segment int, total_length long, url string, "
     "page string, refers_to string, digest string, block binary"
 )
+#: As read from an archive, where a record may be one of several segments.
+PARSED = f"{RECORD}, segmented boolean"
 
 
 def base32_of(hex40: Column) -> Column:
@@ -229,8 +234,8 @@ def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         buffer = buffer[end + 4 + size :]
 
 
-def _reader(segmented: bool):
-    names = [f.split()[0] for f in RECORD.split(", ")]
+def _reader():
+    names = [f.split()[0] for f in PARSED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,12 +244,13 @@ def _reader(segmented: bool):
                 held = 0
                 for f, block in parsed(content.as_py()):
                     kind, number = f.get("warc-type"), f.get("warc-segment-number")
-                    if kind not in ("response", "revisit", "continuation") or (number is not None) != segmented:
+                    if kind not in ("response", "revisit", "continuation"):
                         continue
                     total = f.get("warc-segment-total-length")
                     rows.append(
                         {
                             "record_id": f["warc-record-id"],
+                            "segmented": number is not None,
                             "type": kind,
                             "origin_id": f.get("warc-segment-origin-id", f["warc-record-id"]),
                             "segment": int(number or 1),
@@ -266,7 +272,7 @@ def _reader(segmented: bool):
 
 
 def _arrow(rows: list[dict], names: list[str]) -> pa.RecordBatch:
-    kinds = {"segment": pa.int32(), "total_length": pa.int64(), "block": pa.binary()}
+    kinds = {"segmented": pa.bool_(), "segment": pa.int32(), "total_length": pa.int64(), "block": pa.binary()}
     return pa.record_batch({n: pa.array([r[n] for r in rows], kinds.get(n, pa.string())) for n in names})
 
 
@@ -314,23 +320,32 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Every response and revisit below ``path``: ``record_id type url page refers_to payload digest``.
 
     Payloads are verified against the digests of their records; a revisit has a null payload.
-    Whole records are decoded where they are read, only segments are shuffled. An archive file
-    must fit into a task.
+    Runs a job that parses every archive once and writes its records, whole ones and segments
+    apart, to shared storage; only segments are shuffled. An archive file must fit into a task.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     columns = "record_id", "type", "url", "page", "refers_to", "digest", "block"
-    whole = files.mapInArrow(_reader(False), RECORD).select(*columns)
-    parts = reassembled(files.mapInArrow(_reader(True), RECORD)).select(*columns)
+    records = files.mapInArrow(_reader(), PARSED)
+    held = scratch_path(spark, "archive-records")
+    # gzip has packed these texts tightly once already: cheap compression does here
+    records.write.partitionBy("segmented").option("compression", "snappy").parquet(held)
+    kept = spark.read.schema(records.schema).parquet(held)
+    whole = kept.where("NOT segmented").select(*columns)
+    parts = reassembled(kept.where("segmented")).select(*columns)
     schema = "record_id string, type string, url string, page string, refers_to string, payload binary, digest string"
     return whole.mapInArrow(_payloads, schema).unionByName(parts.mapInArrow(_payloads, schema))
 
 
 def archive_index(records: DataFrame) -> DataFrame:
-    """``page payload_bytes payload_digest record_type refers_to``; revisits take the length of their response."""
+    """``page payload_bytes payload_digest record_type refers_to``; revisits take the length of their response.
+
+    The lengths are written first, so that payloads are decoded once.
+    """
     own = records.select(
         "page", "refers_to", F.octet_length("payload").cast("long").alias("bytes"), F.col("digest").alias("payload_digest"),
         F.col("type").alias("record_type"),
     )
+    own = written(own, "archive-lengths")
     responses = (
         own.where("record_type = 'response'")
         .groupBy(F.col("page").alias("refers_to"), "payload_digest")
