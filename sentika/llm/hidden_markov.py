@@ -27,6 +27,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,10 +69,23 @@ class Tables:
         return np.ascontiguousarray(self.emissions.T)
 
 
-def class_of(words: list[bytes], frequent: dict[bytes, int]) -> np.ndarray:
-    """Class number of each word."""
-    tail = lambda w: FREQUENT + zlib.crc32(w[-3:]) % TAILS if w else FREQUENT + TAILS
-    return np.fromiter((k if (k := frequent.get(w)) is not None else tail(w) for w in words), np.int32, len(words))
+def class_of(words: pa.Array | list[bytes], frequent: dict[bytes, int]) -> np.ndarray:
+    """Class number of each word: its own if it is frequent, else by its last three bytes."""
+    words = pa.array(words, pa.binary()) if isinstance(words, list) else words.cast(pa.binary())
+    own = pc.index_in(words, value_set=pa.array(list(frequent), pa.binary())).fill_null(-1).to_numpy()
+    numbers = np.array([*frequent.values(), 0], np.int32)
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int32)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    sizes, ends = np.diff(offsets), offsets[1:]
+    # the last bytes as a number, with how many there are: few differ
+    tail = np.minimum(sizes, 3).astype(np.int64) << 24
+    for k in range(3):
+        longer = np.flatnonzero(sizes > k)
+        tail[longer] |= data[ends[longer] - 1 - k].astype(np.int64) << (8 * k)
+    different, place = np.unique(tail, return_inverse=True)
+    last = [(t & 0xFFFFFF).to_bytes(3, "big")[3 - (t >> 24) :] for t in different.tolist()]
+    rare = np.array([FREQUENT + zlib.crc32(t) % TAILS if t else FREQUENT + TAILS for t in last], np.int32)
+    return np.where(own >= 0, numbers[own], rare[place]) if len(words) else np.zeros(0, np.int32)
 
 
 class Lanes:
@@ -253,7 +267,7 @@ def _summed(tables: Tables):
         counts, likelihood = np.zeros((states, tables.classes)), 0.0
         for batch in batches:
             for row in range(batch.num_rows):
-                classes = class_of(batch.column("words")[row].values.to_pylist(), tables.frequent)
+                classes = class_of(batch.column("words")[row].values, tables.frequent)
                 lengths = _values(batch, "lengths", row)
                 trained = ~_values(batch, "held", row).astype(bool)
                 tokens = np.frombuffer(batch.column("tokens")[row].as_py(), np.int32)[np.repeat(trained, lengths)]
@@ -342,7 +356,7 @@ def _scored(tables: Tables, tokens: np.ndarray, words: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                vocabulary = batch.column("words")[row].values.to_pylist()
+                vocabulary = batch.column("words")[row].values
                 c = np.zeros(len(vocabulary), np.int64)
                 known = batch.column("known")[row]
                 if known.is_valid:

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sentika.llm import catalog
@@ -155,3 +156,16 @@ def test_edges(docs, empty, spark):
     alone = H.score(spark.createDataFrame([(held, "a b")], "doc_id long, text string"), rounds=1).first()
     assert (alone.n_tokens, alone.n_known, alone.train_tokens, alone.base_score) == (3, 0, 0, 0.0)
     assert math.isfinite(alone.score)
+
+
+def test_classes_equal_those_word_by_word():
+    words = [b"", b"\0", b"\0\0", b"ab", b"abc", b"xabc", "élan".encode(), b"frequent", b"a" * 100]
+    frequent = {b"frequent": 0, b"ab": 1}
+    want = [
+        frequent.get(w, H.FREQUENT + (zlib.crc32(w[-3:]) % H.TAILS if w else H.TAILS)) for w in words
+    ]
+    assert H.class_of(words, frequent).tolist() == want
+    # part of a longer array, as a block of several hands it over
+    inner = pa.array([[b"before"], words], pa.list_(pa.binary()))[1].values
+    assert H.class_of(inner, frequent).tolist() == want
+    assert H.class_of([], {}).tolist() == [] and H.class_of([b"q"], {}).tolist() == [H.FREQUENT + zlib.crc32(b"q") % H.TAILS]
