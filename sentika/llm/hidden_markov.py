@@ -40,7 +40,7 @@ ROUNDS = 4
 #: Training rows are those whose remainder is another one.
 FOLDS, HELD_OUT = 7, 2
 #: Bytes of text in a block, and tokens that run through the recursion together (a longer text alone).
-BLOCK_BYTES, RUN_TOKENS = 16 << 20, 1 << 18
+BLOCK_BYTES, RUN_TOKENS = 10 << 20, 1 << 17
 #: Texts that run side by side.
 LANES = 512
 #: Weight, in tokens, of the corpus' own shares in each state's emissions, and of even moves.
@@ -206,7 +206,9 @@ def _block(ids: list, texts: list[bytes], folds: int, held_out: int) -> pa.Recor
     for p in parts:
         p.append(END)
     lengths = np.array([len(p) for p in parts], np.int32)
-    coded = pa.array([w for p in parts for w in p], pa.large_binary()).dictionary_encode()
+    flat = pa.array([w for p in parts for w in p], pa.large_binary())
+    del parts  # millions of small objects
+    coded = flat.dictionary_encode()
     tokens = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
     held = np.array([_remainder(i, folds) == held_out for i in ids])
     counts = np.bincount(tokens[np.repeat(~held, lengths)], minlength=len(coded.dictionary))
