@@ -40,7 +40,7 @@ ROUNDS = 4
 #: Training rows are those whose remainder is another one.
 FOLDS, HELD_OUT = 7, 2
 #: Bytes of text in a block, and tokens that run through the recursion together (a longer text alone).
-BLOCK_BYTES, RUN_TOKENS = 10 << 20, 1 << 17
+BLOCK_BYTES, RUN_TOKENS = 15 << 20, 1 << 17
 #: Texts that run side by side.
 LANES = 512
 #: Weight, in tokens, of the corpus' own shares in each state's emissions, and of even moves.
