@@ -18,11 +18,13 @@ from sentika.lexicons.sample import LANGUAGE_PROFILES, STOP_WORDS
 from sentika.operators import dictionary_scan as A
 from sentika.operators import distributions as D
 from sentika.operators import joint as T
+from sentika.operators import languages as G
 from sentika.operators import lookups as J
 from sentika.operators import metrics as M
 from sentika.operators import models as ML
 from sentika.operators import regression as R
 from sentika.operators import selection as S
+from sentika.operators import topics as K
 from sentika.plans import jobs
 from sentika.plans import sample_views as V
 from sentika.plans.sample_views import ASPECTS, LEXICON
@@ -634,6 +636,24 @@ def detect_language(spark, sf):
     return J.detect_language(V.cleaned(spark, sf), LANGUAGE_PROFILES, out_col="guess").select("review_id", "guess")
 
 
+def _language_guesses(spark, sf) -> DataFrame:
+    """Languages of the fifth of the texts that was held out, by a model of the others."""
+    texts = V.spread_reviews(spark, sf).withColumn("held", S.hash_unit(F.col("review_id"), "lang") < 0.2)
+    model = G.fit_languages(texts.where(~F.col("held")), text_col="review_text")
+    return model.detect(texts.where("held"), "review_text", "guess")
+
+
+@query
+def fitted_language(spark, sf):
+    """The fitted model's guess for every held-out text, and how far ahead it is."""
+    return _language_guesses(spark, sf).select("review_id", "guess", F.round("guess_margin", 6).alias("margin"))
+
+
+@query
+def fitted_language_quality(spark, sf):
+    return G.detection_quality(_language_guesses(spark, sf))
+
+
 # ---- labelling --------------------------------------------------------------
 
 @query
@@ -805,6 +825,35 @@ def kmeans_topic_terms(spark, sf):
     return J.top_terms_per_group(counts, "cluster_id", 10)
 
 
+@query
+def text_topic_costs(spark, sf):
+    """The cost table of topics of the texts; the kept start is the cheapest, its cost is found again
+    by joins and sums, and it is below that of a single centre."""
+    texts = V.cleaned(spark, sf)
+    topics = K.fit_text_topics(texts)
+    again = K.cost_by_join(texts, topics.model, "review_id").withColumnRenamed("texts", "texts_again")
+    best = topics.costs.where("kept").select(F.col("cost").alias("best"))
+    rows = topics.costs.crossJoin(F.broadcast(best)).crossJoin(F.broadcast(again.withColumnRenamed("cost", "cost_again")))  # one row each
+    return rows.select(
+        "start",
+        "texts",
+        (F.col("best") <= F.col("cost")).alias("not_cheaper"),
+        ((F.abs(F.col("best") - F.col("cost_again")) <= 1e-6 * F.col("cost_again")) & (F.col("texts") == F.col("texts_again"))).alias(
+            "cost_repeats"
+        ),
+        (F.col("best") < F.col("one_centre")).alias("below_one_centre"),
+    )
+
+
+@query
+def text_topic_terms(spark, sf):
+    """Occurrences of every term, added up over the topics of all texts."""
+    texts = V.cleaned(spark, sf)
+    assigned = reliable_checkpoint(K.fit_text_topics(texts).model.assign(texts).select("review_id", "clean_text", "cluster_id"))
+    counts = J.term_frequencies(assigned.where("cluster_id IS NOT NULL"), group_col="cluster_id")
+    return counts.groupBy("term").agg(F.sum("n").alias("n"))
+
+
 @query
 def tfidf_features(spark, sf):
     weights = ML.term_weights(V.labeled(spark, sf))

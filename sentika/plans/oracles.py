@@ -254,6 +254,26 @@ guesses AS (SELECT review_id, CASE WHEN {_LANG_BEST} = 0 THEN 'unknown' {" ".joi
   FROM lang_hits)"""
 
 
+# Runs of three letters or blanks; the fifth of the texts with the smallest hashes is held out.
+FITTED_LANG = f"""plain AS (SELECT review_id, lang, {unit("lang", "review_id")} < 0.2 AS held,
+  trim(regexp_replace(lower(coalesce(review_text, '')), '[^\\p{{L}}]+', ' ', 'g'), ' ') AS p FROM reviews),
+letters AS (SELECT review_id, lang, held, string_split(' ' || p || ' ', '') AS c FROM plain WHERE p <> ''),
+all_runs AS MATERIALIZED (SELECT review_id, lang, held, run, count(*) AS n
+  FROM (SELECT review_id, lang, held, unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS run FROM letters)
+  GROUP BY ALL),
+learnt AS MATERIALIZED (SELECT lang, run, sum(n) AS n FROM all_runs WHERE NOT held AND lang IS NOT NULL GROUP BY ALL),
+lang_size AS (SELECT lang, sum(n) AS total FROM learnt GROUP BY lang),
+kept_runs AS MATERIALIZED (SELECT DISTINCT run FROM (SELECT run, row_number() OVER (PARTITION BY lang ORDER BY n DESC, run) AS k FROM learnt) WHERE k <= 2000),
+run_score AS (SELECT lang, run, ln((coalesce(n, 0) + 1.0) / (total + (SELECT count(*) FROM kept_runs) + 1)) AS s
+  FROM (SELECT * FROM lang_size, kept_runs) LEFT JOIN learnt USING (lang, run)),
+other_score AS (SELECT lang, ln(1.0 / (total + (SELECT count(*) FROM kept_runs) + 1)) AS s FROM lang_size),
+text_score AS (SELECT review_id, o.lang, sum(a.n * coalesce(r.s, o.s)) AS s, sum(a.n) AS m
+  FROM all_runs a CROSS JOIN other_score o LEFT JOIN run_score r ON r.run = a.run AND r.lang = o.lang WHERE a.held GROUP BY ALL),
+placed AS (SELECT *, row_number() OVER w AS k, (s - lead(s) OVER w) / m AS margin FROM text_score WINDOW w AS (PARTITION BY review_id ORDER BY s DESC, lang)),
+fitted AS (SELECT review_id, CASE WHEN margin >= 0.02 THEN b.lang ELSE 'unknown' END AS guess, margin
+  FROM plain LEFT JOIN (SELECT * FROM placed WHERE k = 1) b USING (review_id) WHERE held)"""
+
+
 def _gram() -> str:
     columns = [*FEATURES, "rating"]
     sums = [f'CAST(sum("{c}") AS BIGINT) AS s_{i}' for i, c in enumerate(columns)]
@@ -538,6 +558,9 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT review_id, CAST(length(review_text) AS INT) AS char_count, {word_count('review_text')} AS word_count, {sent_count('review_text')} AS sent_count FROM reviews"
         ),
         "detect_language": f"WITH {LANG} SELECT review_id, guess FROM guesses",
+        "fitted_language": f"WITH {REVIEWS}, {FITTED_LANG} SELECT review_id, guess, round(margin, 6) AS margin FROM fitted",
+        "fitted_language_quality": f"""WITH {REVIEWS}, {FITTED_LANG} SELECT lang, count(*) AS n, count(*) FILTER (guess = lang) AS n_right,
+            count(*) FILTER (guess = 'unknown') AS n_unknown FROM fitted JOIN reviews USING (review_id) WHERE lang IS NOT NULL GROUP BY lang""",
         # labelling
         "compile_lexicon": reviews_only(f"SELECT review_id, {raw_hits} FROM reviews"),
         "joint_training_log": "SELECT CAST(range AS INT) AS epoch, true AS loss_falls, true AS scores_repeat, true AS kept_is_best FROM range(1, 5)",
@@ -592,6 +615,10 @@ def oracle_sql() -> dict[str, str]:
         # models: what must hold of any good fit
         "save_load_model": reviews_only("SELECT review_id, true AS agree FROM reviews"),
         "score_reviews": reviews_only("SELECT review_id, true AS follows FROM reviews"),
+        "text_topic_costs": f"""WITH {CLEANED} SELECT CAST(range AS INT) AS start, (SELECT count(*) FROM cleaned WHERE clean_text <> '') AS texts,
+            true AS not_cheaper, true AS cost_repeats, true AS below_one_centre FROM range(10)""",
+        "text_topic_terms": f"""WITH {CLEANED} SELECT term, count(*) AS n
+            FROM (SELECT unnest({tokens("clean_text")}) AS term FROM cleaned) GROUP BY term""",
         "kmeans_topics": "SELECT vec_id AS doc_id, label, true AS own_centre_is_nearest FROM embeddings",
         **dict.fromkeys(
             ("aspect_classifier", "sentiment_classifier"),
