@@ -7,6 +7,7 @@ plain columns, so that any engine can check it. Arrays and maps are joined to te
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,7 @@ from sentika.plans.sample_views import ASPECTS, LEXICON
 from sentika.schemas import LANDING, RAW, columns
 from sentika.session import reliable_checkpoint, scratch_path
 from sentika.sources import files
+from sentika.streaming import arrivals as Y
 from sentika.streaming import streams as Z
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1072,6 +1074,22 @@ def stream_dedup(spark, sf):
     return spark.read.parquet(out)
 
 
+@query
+def stream_first_arrival(spark, sf):
+    """Both feeds as one stream of several batches; of every review the row of the first feed."""
+    paths = _landing_feeds(spark, sf)
+    feeds = [
+        S.conform_schema(Z.read_json_stream(spark, p, LANDING, per_batch=4), RAW).withColumn("feed_rank", F.lit(i))
+        for i, p in enumerate(paths)
+    ]
+    days = V.reviews(spark, sf).agg(F.datediff(F.max("review_date"), F.min("review_date")).alias("d")).first().d
+    order = [("feed_rank", False), ("review_date", True), ("review_text", False)]
+    stacked = feeds[1].unionByName(feeds[0])
+    firsts = Y.stream_first(stacked, timedelta(days=(days or 0) + 1), "review_id", "review_date", order)
+    out = Z.run_available(firsts, "stream-first", "update")
+    return Y.last_updates(spark, out, "review_id").select("review_id", "review_text", "rating", "helpful_count")
+
+
 @query
 def stream_aspect_counts(spark, sf):
     documents = V.table(spark, sf, "documents")

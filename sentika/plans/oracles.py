@@ -639,6 +639,7 @@ def oracle_sql() -> dict[str, str]:
         # streams
         "stream_score": f"WITH {ALL_LABELED} SELECT review_id, {JOINED} AS aspects, CAST(len(aspects) AS INT) AS aspect_count, sentiment_rule, len(aspects) > 1 AS is_multilabel FROM labeled",
         "stream_dedup": reviews_only("SELECT review_id, review_text, rating FROM reviews"),
+        "stream_first_arrival": f"WITH {REVIEWS}, {landed} SELECT review_id, review_text, rating, helpful_count FROM firsts",
         "stream_aspect_counts": f"""WITH {ALL_LABELED}
             SELECT day, aspect, sentiment, count(*) AS n FROM (
               SELECT strftime(review_date, '%Y-%m-%d') AS day, unnest(aspects) AS aspect, sentiment_rule AS sentiment FROM labeled)
