@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -78,6 +78,25 @@ def filter_audit(df: DataFrame, conditions: dict[str, Column]) -> DataFrame:
     return df.agg(*totals).select(F.inline(F.array(*steps)))
 
 
+def write_filtered(df: DataFrame, conditions: dict[str, Column], path: str) -> DataFrame:
+    """Write the rows that pass all filters to a fresh parquet folder; returns the audit of the filters.
+
+    The counts are observed by the tasks that write, so the input is read once. Columns and order
+    are those of :func:`filter_audit`; a null condition removes the row, and an empty table gives zeros.
+    """
+    kept, totals = F.lit(True), [F.count(F.lit(1)).alias("rows_0")]
+    for i, condition in enumerate(conditions.values()):
+        kept = kept & F.coalesce(condition, F.lit(False))
+        totals.append(F.count_if(kept).alias(f"rows_{i + 1}"))
+    seen = Observation()
+    df.observe(seen, *totals).where(kept).write.parquet(path)
+    counts = [seen.get[f"rows_{i}"] for i in range(len(totals))]
+    rows = [(i + 1, name, counts[i], counts[i + 1], counts[i] - counts[i + 1]) for i, name in enumerate(conditions)]
+    return df.sparkSession.createDataFrame(
+        rows, "step int, filter string, rows_before long, rows_after long, rows_removed long"
+    )
+
+
 # ---- dedup and union --------------------------------------------------------
 
 def union_feeds(feeds: Sequence[DataFrame], rank_col: str = "feed_rank") -> DataFrame:

@@ -242,17 +242,27 @@ def row_ordinal(spark, sf):
     return S.dense_ordinal(rows, ["doc_id"])
 
 
+def _audited_filters() -> dict[str, Column]:
+    text = F.col("review_text")
+    return {
+        "has_text": text.isNotNull(),
+        "long_enough": S.long_enough(text),
+        "enough_words": F.col("word_count") >= 3,
+    }
+
+
 @query
 def filter_audit(spark, sf):
-    text = F.col("review_text")
-    return S.filter_audit(
-        V.cleaned(spark, sf),
-        {
-            "has_text": text.isNotNull(),
-            "long_enough": S.long_enough(text),
-            "enough_words": F.col("word_count") >= 3,
-        },
-    )
+    return S.filter_audit(V.cleaned(spark, sf), _audited_filters())
+
+
+@query
+def filter_audit_written(spark, sf):
+    """The same audit observed while the rows are written, and the rows found in the table."""
+    path = scratch_path(spark, "filtered")
+    audit = S.write_filtered(V.cleaned(spark, sf), _audited_filters(), path)
+    written = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows_written"))
+    return audit.crossJoin(F.broadcast(written))  # one row
 
 
 # ---- lookups ----------------------------------------------------------------

@@ -439,6 +439,12 @@ def oracle_sql() -> dict[str, str]:
             SELECT 1 AS step, 'has_text' AS filter, n0 AS rows_before, n1 AS rows_after, n0 - n1 AS rows_removed FROM a
             UNION ALL SELECT 2, 'long_enough', n1, n2, n1 - n2 FROM a
             UNION ALL SELECT 3, 'enough_words', n2, n3, n2 - n3 FROM a""",
+        "filter_audit_written": f"""WITH {CLEANED}, a AS (SELECT count(*) AS n0, count(*) FILTER (review_text IS NOT NULL) AS n1,
+            count(*) FILTER (review_text IS NOT NULL AND length({stripped}) > 5) AS n2,
+            count(*) FILTER (review_text IS NOT NULL AND length({stripped}) > 5 AND word_count >= 3) AS n3 FROM cleaned)
+            SELECT 1 AS step, 'has_text' AS filter, n0 AS rows_before, n1 AS rows_after, n0 - n1 AS rows_removed, n3 AS rows_written FROM a
+            UNION ALL SELECT 2, 'long_enough', n1, n2, n1 - n2, n3 FROM a
+            UNION ALL SELECT 3, 'enough_words', n2, n3, n2 - n3, n3 FROM a""",
         # lookups
         "slang_lookup": reviews_only(f"SELECT review_id, {_raw_slang('review_text')} AS normalized FROM reviews"),
         "slang_lookup_join": reviews_only(f"SELECT review_id, {_raw_slang('review_text')} AS normalized FROM reviews"),
