@@ -13,7 +13,7 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Model, Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -125,10 +125,19 @@ def fit_sentiment_heads(
 
 def _fit_all(fits: Sequence[tuple[LogisticRegression, DataFrame]], parallelism: int) -> list[Model]:
     """Fit independent heads at the same time: the jobs are Spark's, the threads only
-    submit them, so one head's short stages fill the idle cores of another's."""
+    submit them, so one head's short stages fill the idle cores of another's.
+
+    Heads are read back from shared storage: a fitted model keeps a summary that holds the
+    session, and a session that ever observed a query cannot be sent to tasks."""
     session = fits[0][1].sparkSession if fits else None
+
+    def fitted(fit: tuple[LogisticRegression, DataFrame]) -> Model:
+        path = scratch_path(session, "head")
+        fit[0].fit(fit[1]).write().save(path)
+        return LogisticRegressionModel.load(path)
+
     with ThreadPool(max(1, min(parallelism, len(fits)))) as pool:
-        run = inheritable_thread_target(session)(lambda fit: fit[0].fit(fit[1]))
+        run = inheritable_thread_target(session)(fitted)
         return pool.map(run, fits)
 
 

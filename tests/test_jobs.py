@@ -189,3 +189,15 @@ def test_models_read_every_word(spark):
     df = spark.createDataFrame([(" ".join(words),)], "clean_text string")
     row = ML.tfidf_pipeline().fit(df).transform(df).select("tokens").first()
     assert row.tokens == words
+
+
+def test_heads_score_in_a_session_that_observed_a_query(spark):
+    """A summary of training, kept by a head, would carry the session into the tasks."""
+    from pyspark.ml.linalg import Vectors
+    from pyspark.sql import Observation
+
+    spark.range(3).observe(Observation("seen"), F.count(F.lit(1)).alias("n")).collect()
+    rows = [(Vectors.dense([float(k % 2), float(k)]), [k % 2]) for k in range(20)]
+    features = spark.createDataFrame(rows, ["features", "aspect_true"])
+    heads = ML.fit_aspect_heads(features, ["a"], ML.TrainingConfig(max_iter=3), 0.1)
+    assert len(ML.PipelineModel(heads).transform(features).select("aspect_pred_0").collect()) == 20
