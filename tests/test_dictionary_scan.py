@@ -86,3 +86,21 @@ def test_labels_equal_the_pattern_form(spark):
         expected = {r.review_id: r for r in L.label_reviews(clean, lexicon, rating_col=rating).select(*columns).collect()}
         got = A.label_reviews_by_table(clean, lexicon.to_table(spark), rating_col=rating).collect()
         assert {r.review_id: r for r in got} == expected
+
+
+def test_a_large_table_is_not_dealt_to_automata(spark, monkeypatch):
+    """Texts are read once however many times ``part_terms`` the table holds."""
+    made = []
+    monkeypatch.setattr(A, "Automaton", lambda terms: made.append(1))
+    table = terms_table(spark, {"a": [f"w{k}" for k in range(400)], "b": [f"w{k} w{k + 1}" for k in range(400)]})
+    df = spark.createDataFrame([(k, f"w{k} w{k + 1} x w{k}") for k in range(300)], "id int, t string")
+    found = A.lexicon_counts(df, table, "id", "t", part_terms=5)
+    assert {(r.id, r.label, r.hits) for r in found.collect()} == {x for k in range(300) for x in ((k, "a", 3), (k, "b", 1))}
+    assert not made
+
+
+def test_repeated_and_null_keys_beyond_one_part(spark):
+    table = terms_table(spark, {"a": ["b", "c d"]})
+    df = spark.createDataFrame([(1, "b c d"), (1, "b c d"), (2, "b b"), (None, "b")], "id int, t string")
+    found = A.lexicon_counts(df, table, "id", "t", part_terms=1)
+    assert sorted((r.id, r.hits) for r in found.collect()) == [(1, 2), (1, 2), (2, 2)]
