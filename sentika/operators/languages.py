@@ -20,6 +20,7 @@ from sentika.session import scratch_path
 
 UNKNOWN = "unknown"
 _BITS = 21  # of a code point
+_HELD = 1 << 18  # runs a task holds before it counts them
 
 
 @dataclass(frozen=True)
@@ -56,8 +57,19 @@ def _counting(n: int):
             langs = np.array(batch.column(0).to_pylist(), object)
             texts = batch.column(1)
             for lang in sorted(set(langs)):
-                found = [_codes(texts[int(i)].as_py(), n) for i in np.flatnonzero(langs == lang)]
-                codes, counts = np.unique(np.concatenate(found), return_counts=True)
+                codes, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+                found, held = [], 0
+                places = np.flatnonzero(langs == lang)
+                for i in places:
+                    found.append(_codes(texts[int(i)].as_py(), n))
+                    held += len(found[-1])
+                    if held < _HELD and i != places[-1]:
+                        continue
+                    # runs are counted some at a time: a task holds the different ones only
+                    own, times = np.unique(np.concatenate(found), return_counts=True)
+                    codes, at = np.unique(np.concatenate([codes, own]), return_inverse=True)
+                    counts = np.bincount(at, weights=np.concatenate([counts, times]), minlength=len(codes)).astype(np.int64)
+                    found, held = [], 0
                 yield pa.record_batch(
                     {
                         "lang": pa.array([lang] * len(codes), pa.string()),
