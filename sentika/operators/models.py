@@ -352,7 +352,12 @@ def beats_constant(scored: DataFrame, label: Column, probability: Column, classe
 
 def term_weights(df: DataFrame, key: str = "review_id", text_col: str = "clean_text") -> DataFrame:
     """``key, term, tf, idf`` of every word of every text, without hashing: the weights that
-    the models' features approximate. idf is ln((N + 1) / (df + 1))."""
+    the models' features approximate. idf is ln((N + 1) / (df + 1)). Texts are written once, as
+    terms, their frequency and the number of texts all read them."""
+    path = scratch_path(df.sparkSession, "texts")
+    rows = df.select(key, text_col)
+    rows.write.parquet(path)
+    df = df.sparkSession.read.schema(rows.schema).parquet(path)
     terms = df.select(key, F.explode(words(F.lower(F.col(text_col)))).alias("term"))
     tf = terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     held = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
