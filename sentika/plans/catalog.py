@@ -47,6 +47,13 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """Rows computed once, for all that reads them."""
+    path = scratch_path(df.sparkSession, name)
+    files.write_table(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _joined(labeled: DataFrame, *more: str) -> DataFrame:
     """Labels as plain columns."""
     return labeled.select(
@@ -412,8 +419,9 @@ def epoch_mean_loss(spark, sf):
     return M.epoch_mean_loss(V.step_log(spark, sf)).select("epoch", F.round("train_loss", 9).alias("train_loss"), "steps")
 
 
-def _folded(spark, sf) -> DataFrame:
-    return S.kfold_hashed(R.regression_table(V.labeled(spark, sf), ASPECTS, "doc_id"), "doc_id")
+def _folded(spark, sf, labeled: DataFrame | None = None) -> DataFrame:
+    labeled = V.labeled(spark, sf) if labeled is None else labeled
+    return S.kfold_hashed(R.regression_table(labeled, ASPECTS, "doc_id"), "doc_id")
 
 
 @query
@@ -841,7 +849,7 @@ def kmeans_topic_terms(spark, sf):
 def text_topic_costs(spark, sf):
     """The cost table of topics of the texts; the kept start is the cheapest, its cost is found again
     by joins and sums, and it is below that of a single centre."""
-    texts = V.cleaned(spark, sf)
+    texts = _written(V.cleaned(spark, sf), "cleaned")
     topics = K.fit_text_topics(texts)
     again = K.cost_by_join(texts, topics.model, "review_id").withColumnRenamed("texts", "texts_again")
     best = topics.costs.where("kept").select(F.col("cost").alias("best"))
@@ -860,7 +868,7 @@ def text_topic_costs(spark, sf):
 @query
 def text_topic_terms(spark, sf):
     """Occurrences of every term, added up over the topics of all texts."""
-    texts = V.cleaned(spark, sf)
+    texts = _written(V.cleaned(spark, sf), "cleaned")
     assigned = reliable_checkpoint(K.fit_text_topics(texts).model.assign(texts).select("review_id", "clean_text", "cluster_id"))
     counts = J.term_frequencies(assigned.where("cluster_id IS NOT NULL"), group_col="cluster_id")
     return counts.groupBy("term").agg(F.sum("n").alias("n"))
@@ -1047,8 +1055,8 @@ def executive_report(spark, sf):
 @query
 def report_regression(spark, sf):
     """The report's regression section, written with the whole document and read back."""
-    labeled = V.labeled(spark, sf)
-    _, measures = R.ridge_cv(_folded(spark, sf), R.feature_names(ASPECTS))
+    labeled = _written(V.labeled(spark, sf).select("doc_id", "rating", "aspects", "sentiment_rule"), "labels")
+    _, measures = R.ridge_cv(_folded(spark, sf, labeled), R.feature_names(ASPECTS))
     path = scratch_path(spark, "report")
     files.write_json(jobs.report_document(jobs.report_rows(labeled, ASPECTS, measures)), path)
     document = spark.read.schema("report string").json(path)
