@@ -11,6 +11,10 @@ from pyspark.sql import types as T
 from sentika.schemas import LANDING, RAW, TRAINING_LOG
 
 
+#: Rows of a CSV file: one task reads a whole file, as quoted line breaks keep it from being split.
+MAX_ROWS = 20_000
+
+
 def scan_reviews_csv(
     spark: SparkSession, path: str, schema: T.StructType = RAW, spread_over: int | None = None
 ) -> DataFrame:
@@ -67,6 +71,7 @@ def write_csv(df: DataFrame, path: str) -> None:
         .option("quoteAll", True)
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
+        .option("maxRecordsPerFile", MAX_ROWS)
         .csv(path)
     )
 

@@ -201,3 +201,41 @@ def test_heads_score_in_a_session_that_observed_a_query(spark):
     features = spark.createDataFrame(rows, ["features", "aspect_true"])
     heads = ML.fit_aspect_heads(features, ["a"], ML.TrainingConfig(max_iter=3), 0.1)
     assert len(ML.PipelineModel(heads).transform(features).select("aspect_pred_0").collect()) == 20
+
+
+def test_no_csv_file_is_too_much_for_a_task(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "MAX_ROWS", 10)
+    files.write_csv(spark.range(95).coalesce(1).selectExpr("cast(id as string) as review_id"), str(tmp_path / "out"))
+    assert len(list((tmp_path / "out").glob("*.csv"))) == 10
+    assert files.scan_reviews_csv(spark, str(tmp_path / "out")).count() == 95
+
+
+def test_term_weights_compute_their_texts_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(t):
+        seen.add(1)
+        return t
+
+    rows = spark.createDataFrame([(1, "a b a"), (2, "b c"), (3, None)], "review_id int, t string")
+    got = ML.term_weights(rows.select("review_id", counted.asNondeterministic()("t").alias("clean_text"))).collect()
+    assert {(r.review_id, r.term, r.tf) for r in got} == {(1, "a", 2), (1, "b", 1), (2, "b", 1), (2, "c", 1)}
+    assert seen.value == 3
+
+
+def test_reports_and_topics_label_their_texts_once(spark, tmp_path, monkeypatch):
+    """What was written is read by all that follows."""
+    from sentika.plans import catalog
+
+    calls = []
+    labeled = V.labeled
+    monkeypatch.setattr(V, "labeled", lambda *a: calls.append("labeled") or labeled(*a))
+    written = []
+    real = catalog._written
+    monkeypatch.setattr(catalog, "_written", lambda df, name: written.append(name) or real(df, name))
+    rows = [(k, f"thing {k} then trash of the word{k % 5}", "en", "s") for k in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert catalog.report_regression(spark, str(tmp_path)).count() == 4
+    assert catalog.text_topic_terms(spark, str(tmp_path)).count() > 5
+    assert calls == ["labeled"] and written == ["labels", "cleaned"]
