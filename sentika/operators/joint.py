@@ -28,6 +28,7 @@ from sentika.session import scratch_path
 from sentika.sources import files
 
 MOODS = 3
+_WORDS = 1 << 15  # of the rows a task works on at a time
 SCORED = "aspect_probs array<double>, aspect_pred array<int>, sentiment_probs array<array<double>>, sentiment_pred array<int>"
 
 
@@ -104,13 +105,21 @@ def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(np.int64)
 
 
+def _pieces(batch: pa.RecordBatch, words_of: pa.ListArray) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch some at a time, so that what is made of them stays small however long they are."""
+    ends = np.cumsum(np.diff(words_of.offsets.to_numpy()))
+    cuts = np.flatnonzero(np.diff(ends // _WORDS, prepend=0))
+    edges = [0, *(int(c) for c in cuts if c), batch.num_rows]
+    for a, b in zip(edges, edges[1:]):
+        if a < b:
+            yield batch.slice(a, b - a)
+
+
 def _gradients(features: Features, weights, of_class: np.ndarray, aspects: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, sums = None, np.zeros(4)
         touched = np.zeros(len(features.idf) + 1, bool)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (piece for whole in batches for piece in _pieces(whole, whole.column(0))):
             entries = features.of(batch.column(0))
             z = logits(entries, batch.num_rows, weights.value)
             own, by_output = loss_sums(z, _matrix(batch.column(1), aspects), _matrix(batch.column(2), aspects), of_class)
@@ -132,7 +141,7 @@ def _gradients(features: Features, weights, of_class: np.ndarray, aspects: int):
 
 def _scores(features: Features, weights, aspects: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in _pieces(whole, whole.column(whole.schema.get_field_index("hashed")))):
             hashed = batch.column(batch.schema.get_field_index("hashed"))
             p, q = outputs(logits(features.of(hashed), batch.num_rows, weights.value), aspects)
             kept = [batch.column(i) for i, f in enumerate(batch.schema.names) if f != "hashed"]

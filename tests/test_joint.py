@@ -91,3 +91,13 @@ def test_checks_fail_on_a_model_that_did_not_learn(spark, monkeypatch):
     monkeypatch.setattr(catalog, "JOINT", dataclasses.replace(catalog.JOINT, rate=1e-12, epochs=2))
     loss = {r["loss"]: r.below_constant for r in catalog.joint_training_loss(spark, "/root/testdata/sf0.001").collect()}
     assert loss["total_loss"] is False
+
+
+def test_a_task_works_on_few_words_at_a_time():
+    import pyarrow as pa
+
+    lists = pa.array([[1] * 1000] * 300 + [[2] * 100_000, [], [3]], pa.list_(pa.int32()))
+    batch = pa.record_batch([lists, pa.array(range(len(lists)))], ["hashed", "id"])
+    cut = list(T._pieces(batch, batch.column(0)))
+    assert [i for b in cut for i in b.column(1).to_pylist()] == list(range(303))
+    assert max(len(b.column(0).flatten()) - len(b.column(0)[0]) for b in cut) <= T._WORDS and len(cut) > 9
