@@ -59,6 +59,24 @@ def tfidf_pipeline(text_col: str = "clean_text", config: TrainingConfig = Traini
     )
 
 
+def write_features(
+    rows: DataFrame, kept: Sequence[str], text_col: str, config: TrainingConfig, fit_on: str = "true", partition_by: Sequence[str] = ()
+) -> tuple[PipelineModel, DataFrame]:
+    """The text model, its weights fitted on the rows that meet ``fit_on``, and ``kept`` with ``features``.
+
+    The pass that makes the texts also hashes their words and writes how often they occur; weights
+    are fitted on that and applied to it, so no text is made or cut into words twice. Runs jobs."""
+    spark = rows.sparkSession
+    tokens, counts, idf = tfidf_pipeline(text_col, config).getStages()
+    path = scratch_path(spark, "counts")
+    PipelineModel([tokens, counts]).transform(rows.select(*kept, text_col)).select(*kept, "counts").write.parquet(path)
+    counted = spark.read.parquet(path)
+    weights = idf.fit(counted.where(fit_on).select("counts"))
+    path = scratch_path(spark, "features")
+    weights.transform(counted).select(*kept, "features").write.partitionBy(*partition_by).parquet(path)
+    return PipelineModel([tokens, counts, weights]), spark.read.parquet(path)
+
+
 def label_arrays(labeled: DataFrame, aspects: Sequence[str]) -> DataFrame:
     """Add ``aspect_true`` (0/1 per aspect) and ``sentiment_true`` (id or -1 per aspect)."""
     return labeled.withColumns(
@@ -186,22 +204,14 @@ def train_evaluate(
 ) -> Trained:
     """Split, weigh, fit every candidate penalty, keep the best on validation, test it.
 
-    Runs jobs. Labelled rows and then their features are written once to the shared
-    scratch folder and read by every fit, so no fit cleans text again and a lost
-    executor costs only the blocks it was reading.
+    Runs jobs. Labels and features are written once to the shared scratch folder and
+    read by every fit, so no fit cleans text again and a lost executor costs only the
+    blocks it was reading.
     """
     spark = labeled.sparkSession
-    texts = scratch_path(spark, "labeled")
-    label_arrays(train_val_test_split(labeled, key, seed=config.seed), aspects).select(
-        key, "split", text_col, "aspects", "sentiment_rule", "aspect_true", "sentiment_true"
-    ).write.parquet(texts)
-    rows = spark.read.parquet(texts)
-    text_model = tfidf_pipeline(text_col, config).fit(rows.where("split = 'train'").select(text_col))
-    path = scratch_path(spark, "features")
-    text_model.transform(rows).select(
-        key, "split", "features", "aspects", "sentiment_rule", "aspect_true", "sentiment_true"
-    ).write.partitionBy("split").parquet(path)
-    table = spark.read.parquet(path)
+    rows = label_arrays(train_val_test_split(labeled, key, seed=config.seed), aspects)
+    kept = [key, "split", "aspects", "sentiment_rule", "aspect_true", "sentiment_true"]
+    text_model, table = write_features(rows, kept, text_col, config, "split = 'train'", ["split"])
     train, val, test = (table.where(F.col("split") == s) for s in ("train", "val", "test"))
 
     counted = train if config.weights_from == "train" else table
@@ -255,11 +265,13 @@ def score_reviews(
     lexicon: Lexicon,
     threshold: float = 0.5,
     text_col: str = "review_text",
+    cleaned: bool = False,
 ) -> DataFrame:
     """Clean and score new reviews: detected aspects or the general one, a sentiment
-    for each detected aspect, a probability for every aspect, and a summary."""
+    for each detected aspect, a probability for every aspect, and a summary. Set ``cleaned``
+    only for rows whose ``clean_text`` came out of the cleaning chain."""
     aspects = lexicon.aspect_names
-    clean = clean_reviews(df, text_col, slang=lexicon.slang)
+    clean = df if cleaned else clean_reviews(df, text_col, slang=lexicon.slang)
     scored = prediction_arrays(model.transform(clean), aspects, threshold)
     names = F.array(*[F.lit(a) for a in aspects])
     moods = F.array(*[F.lit(s) for s in SENTIMENTS])

@@ -180,11 +180,11 @@ def score_file(spark, sf):
 @query
 def save_load_model(spark, sf):
     path = scratch_path(spark, "model")
-    model = ML.train_evaluate(V.labeled(spark, sf), ASPECTS, ONE_CANDIDATE).model
+    texts = _cleaned_once(spark, sf)
+    model = ML.train_evaluate(jobs.label_cleaned(texts, LEXICON), ASPECTS, ONE_CANDIDATE).model
     ML.save_model(model, path)
-    reviews = V.spread_reviews(spark, sf)
-    one = _score(reviews, model).select("review_id", F.struct("aspects", "sentiments", "summary").alias("one"))
-    two = _score(reviews, ML.load_model(path)).select("review_id", F.struct("aspects", "sentiments", "summary").alias("two"))
+    one = _score(texts, model).select("review_id", F.struct("aspects", "sentiments", "summary").alias("one"))
+    two = _score(texts, ML.load_model(path)).select("review_id", F.struct("aspects", "sentiments", "summary").alias("two"))
     return one.join(two, "review_id", "full").select("review_id", F.col("one").eqNullSafe(F.col("two")).alias("agree"))
 
 
@@ -882,11 +882,8 @@ def tfidf_features(spark, sf):
 
 def _featurised(spark, sf) -> DataFrame:
     rows = ML.label_arrays(V.labeled(spark, sf), ASPECTS)
-    path = scratch_path(spark, "tfidf")
-    ML.tfidf_pipeline(config=TRAINING).fit(rows).transform(rows).select(
-        "review_id", "features", "aspects", "sentiment_rule", "aspect_true", "sentiment_true"
-    ).write.parquet(path)
-    return spark.read.parquet(path)
+    kept = ["review_id", "aspects", "sentiment_rule", "aspect_true", "sentiment_true"]
+    return ML.write_features(rows, kept, "clean_text", TRAINING)[1]
 
 
 def _better(scored: DataFrame, checks: dict[str, Column]) -> DataFrame:
@@ -970,8 +967,13 @@ def train_evaluate(spark, sf):
     return trained.log.withColumn("part", F.lit("val")).unionByName(test)
 
 
-def _score(reviews: DataFrame, model) -> DataFrame:
-    scored = ML.score_reviews(reviews, model, LEXICON)
+def _cleaned_once(spark, sf) -> DataFrame:
+    """All reviews, cleaned once for training and for scoring."""
+    return _written(V.cleaned(spark, sf).select("review_id", "rating", "clean_text", "word_count"), "cleaned")
+
+
+def _score(texts: DataFrame, model) -> DataFrame:
+    scored = ML.score_reviews(texts, model, LEXICON, cleaned=True)
     return scored.select(
         "review_id", L.join_aspects(F.col("aspects")).alias("aspects"), _moods_text(F.col("sentiments")).alias("sentiments"), "summary"
     )
@@ -980,8 +982,9 @@ def _score(reviews: DataFrame, model) -> DataFrame:
 @query
 def score_reviews(spark, sf):
     """Whether each scored row follows from its own probabilities, rebuilt from them."""
-    model = ML.train_evaluate(V.labeled(spark, sf), ASPECTS, ONE_CANDIDATE).model
-    scored = ML.score_reviews(V.spread_reviews(spark, sf), model, LEXICON)
+    texts = _cleaned_once(spark, sf)
+    model = ML.train_evaluate(jobs.label_cleaned(texts, LEXICON), ASPECTS, ONE_CANDIDATE).model
+    scored = ML.score_reviews(texts, model, LEXICON, cleaned=True)
     sure = F.lit(True)
     for a in ASPECTS:
         p = F.element_at("confidence", a)

@@ -57,7 +57,12 @@ def clean_job(reviews: DataFrame, lexicon: Lexicon, min_words: int = 3) -> DataF
 
 def label_job(reviews: DataFrame, lexicon: Lexicon, min_words: int = 3) -> DataFrame:
     """Clean and label in one pass over the rows, without a shuffle."""
-    return label_reviews(clean_job(reviews, lexicon, min_words), lexicon, cleaned=True)
+    return label_cleaned(clean_reviews(reviews, slang=lexicon.slang, stats=True), lexicon, min_words)
+
+
+def label_cleaned(cleaned: DataFrame, lexicon: Lexicon, min_words: int = 3) -> DataFrame:
+    """Label cleaned reviews of at least ``min_words`` words, which the cleaning counted."""
+    return label_reviews(cleaned.where(F.col("word_count") >= min_words), lexicon, cleaned=True)
 
 
 def sentiment_by_aspect(reviews: DataFrame, lexicon: Lexicon) -> DataFrame:

@@ -239,3 +239,47 @@ def test_reports_and_topics_label_their_texts_once(spark, tmp_path, monkeypatch)
     assert catalog.report_regression(spark, str(tmp_path)).count() == 4
     assert catalog.text_topic_terms(spark, str(tmp_path)).count() > 5
     assert calls == ["labeled"] and written == ["labels", "cleaned"]
+
+
+def test_features_compute_their_texts_once(spark, monkeypatch):
+    """Hashed words are written by the pass that makes the texts; weights are fitted on them."""
+    from sentika.plans import catalog
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(t):
+        seen.add(1)
+        return t
+
+    rows = [(str(k), f"word{k % 3} other word{k % 3}", ["GENERAL"], "Netral") for k in range(12)]
+    df = spark.createDataFrame(rows, "review_id string, t string, aspects array<string>, sentiment_rule string")
+    df = df.withColumn("clean_text", counted.asNondeterministic()("t"))
+    monkeypatch.setattr(V, "labeled", lambda *a: df)
+    got = {r.review_id: r.features for r in catalog._featurised(spark, "").collect()}
+    assert seen.value == 12
+    want = ML.tfidf_pipeline(config=catalog.TRAINING).fit(df).transform(df).select("review_id", "features").collect()
+    assert got == {r.review_id: r.features for r in want}
+
+
+def test_scoring_reads_the_texts_that_training_read(spark, tmp_path, monkeypatch):
+    from types import SimpleNamespace
+
+    from sentika.plans import catalog
+
+    class Seen(Exception):
+        pass
+
+    def score(df, model, lexicon, **more):
+        raise Seen(model, df.inputFiles(), more)
+
+    trained = []
+    monkeypatch.setattr(ML, "train_evaluate", lambda df, *a: trained.append(df.inputFiles()) or SimpleNamespace(model="m"))
+    monkeypatch.setattr(ML, "save_model", lambda *a: None)
+    monkeypatch.setattr(ML, "score_reviews", score)
+    rows = [(k, f"thing {k} then trash", "en", "s") for k in range(9)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    for query in (catalog.score_reviews, catalog.save_load_model):
+        with pytest.raises(Seen) as found:
+            query(spark, str(tmp_path))
+        assert found.value.args == ("m", trained[-1], {"cleaned": True})
