@@ -71,9 +71,8 @@ class Features:
 def logits(entries: tuple[np.ndarray, np.ndarray, np.ndarray], rows: int, weights: np.ndarray) -> np.ndarray:
     """Values of all output columns: the aspects', then three for each aspect."""
     row, feature, value = entries
-    out = np.zeros((rows, weights.shape[1]))
-    np.add.at(out, row, weights[feature] * value[:, None])
-    return out
+    parts = np.ascontiguousarray(weights.T)[:, feature] * value
+    return np.stack([np.bincount(row, weights=p, minlength=rows) for p in parts], axis=1)
 
 
 def outputs(z: np.ndarray, aspects: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,14 +123,15 @@ def _gradients(features: Features, weights, of_class: np.ndarray, aspects: int):
             z = logits(entries, batch.num_rows, weights.value)
             own, by_output = loss_sums(z, _matrix(batch.column(1), aspects), _matrix(batch.column(2), aspects), of_class)
             row, feature, value = entries
-            total = np.zeros_like(weights.value) if total is None else total
-            np.add.at(total, feature, by_output[row] * value[:, None])
+            parts = np.ascontiguousarray(by_output.T)[:, row] * value
+            found = np.stack([np.bincount(feature, weights=p, minlength=len(weights.value)) for p in parts])
+            total = found if total is None else total + found
             touched[feature] = True
             sums += own
         if total is None:
             return
         seen = np.flatnonzero(touched)
-        rows = np.concatenate([total[seen], np.pad(sums, (0, total.shape[1] - 4))[None]])
+        rows = np.concatenate([total[:, seen].T, np.pad(sums, (0, len(total) - 4))[None]])
         yield pa.record_batch(
             {"feature": pa.array(np.append(seen, -1), pa.int64()), **{f"g{k}": pa.array(rows[:, k]) for k in range(rows.shape[1])}}
         )

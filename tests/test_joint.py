@@ -101,3 +101,15 @@ def test_a_task_works_on_few_words_at_a_time():
     cut = list(T._pieces(batch, batch.column(0)))
     assert [i for b in cut for i in b.column(1).to_pylist()] == list(range(303))
     assert max(len(b.column(0).flatten()) - len(b.column(0)[0]) for b in cut) <= T._WORDS and len(cut) > 9
+
+
+def test_sums_are_counted_not_added_entry_by_entry(monkeypatch):
+    from types import SimpleNamespace
+
+    rnd = np.random.default_rng(4)
+    row, feature, value = np.sort(rnd.integers(0, 5, 60)), rnd.integers(0, 9, 60), rnd.random(60)
+    weights = rnd.random((9, 8))
+    want = np.zeros((6, 8))
+    np.add.at(want, row, weights[feature] * value[:, None])
+    monkeypatch.setattr(T, "np", SimpleNamespace(**{**vars(np), "add": None}))
+    assert (T.logits((row, feature, value), 6, weights) == want).all()
