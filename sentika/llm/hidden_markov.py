@@ -68,6 +68,11 @@ class Tables:
         """Emissions of all states side by side, one row a class."""
         return np.ascontiguousarray(self.emissions.T)
 
+    @cached_property
+    def best(self) -> np.ndarray:
+        """Emission of each class by its best state."""
+        return self.by_class.max(axis=1)
+
 
 def class_of(words: pa.Array | list[bytes], frequent: dict[bytes, int]) -> np.ndarray:
     """Class number of each word: its own if it is frequent, else by its last three bytes."""
@@ -111,13 +116,15 @@ class Lanes:
         self.token = np.empty(total, np.int64)
         self.first = np.zeros(total, bool)
         self.last = np.zeros(total, bool)
-        for lane, texts in enumerate(put):
-            own = np.concatenate([np.arange(begins[i], begins[i] + lengths[i]) for i in texts])
-            at = self.offset[: len(own)] + lane
-            self.token[at] = own
-            ends = np.cumsum(lengths[texts])
-            self.first[at[ends - lengths[texts]]] = True
-            self.last[at[ends - 1]] = True
+        # all lanes behind each other: the text of each token, and its step within its lane
+        texts = np.array([i for p in put for i in p], np.int64)
+        sizes = lengths[texts]
+        ends = np.cumsum(sizes)
+        numbers = np.arange(total)
+        at = self.offset[numbers - np.repeat(np.cumsum(sums) - sums, sums)] + np.repeat(np.arange(count), sums)
+        self.token[at] = numbers + np.repeat(begins[texts] - ends + sizes, sizes)
+        self.first[at[ends - sizes]] = True
+        self.last[at[ends - 1]] = True
         #: whether a text begins at a step
         self.begins = np.add.reduceat(self.first, self.offset[:-1]) > 0
 
@@ -147,9 +154,9 @@ def expectations(
     ``kind`` is that of the numbers between tokens. Emissions are taken relative to the class' best
     state, which changes no expectation, so that single precision does not run out of range.
     """
-    placed = classes[lanes.token].astype(np.int64)
-    best = tables.by_class.max(axis=1)
-    emitted = (tables.by_class / best[:, None]).astype(kind)[placed]
+    placed = np.take(classes, lanes.token).astype(np.int64)
+    best = tables.best
+    emitted = np.take((tables.by_class / best[:, None]).astype(kind), placed, axis=0)
     alpha, scale = forward(lanes, emitted.copy(), tables.start.astype(kind), tables.moves.astype(kind))
     emitted /= scale[:, None]
     states = len(tables.start)
@@ -170,7 +177,7 @@ def expectations(
     gamma *= alpha
     by_state = np.ascontiguousarray(gamma.T)
     counts = np.stack([np.bincount(placed, weights=own, minlength=tables.classes) for own in by_state])
-    likelihood = float(np.log10(scale, dtype=np.float64).sum() + np.log10(best)[placed].sum())
+    likelihood = float(np.log10(scale, dtype=np.float64).sum() + np.take(np.log10(best), placed).sum())
     return gamma[lanes.first].sum(axis=0, dtype=np.float64), moves * tables.moves, counts, likelihood
 
 
@@ -374,8 +381,8 @@ def _scored(tables: Tables, tokens: np.ndarray, words: np.ndarray):
                 for texts in _runs(lengths):
                     own = slice(begins[texts.start], begins[texts.stop - 1] + lengths[texts.stop - 1])
                     lanes = Lanes(lengths[texts])
-                    placed = classes[numbers[own]][lanes.token]
-                    _, scale = forward(lanes, tables.by_class[placed], tables.start, tables.moves)
+                    placed = np.take(classes[numbers[own]], lanes.token)
+                    _, scale = forward(lanes, np.take(tables.by_class, placed, axis=0), tables.start, tables.moves)
                     text = np.repeat(np.arange(len(lengths[texts])), lengths[texts])[lanes.token]
                     score[texts] += np.bincount(text, weights=np.log10(scale), minlength=len(lengths[texts]))
                 yield pa.record_batch(

@@ -169,3 +169,10 @@ def test_classes_equal_those_word_by_word():
     inner = pa.array([[b"before"], words], pa.list_(pa.binary()))[1].values
     assert H.class_of(inner, frequent).tolist() == want
     assert H.class_of([], {}).tolist() == [] and H.class_of([b"q"], {}).tolist() == [H.FREQUENT + zlib.crc32(b"q") % H.TAILS]
+
+
+def test_lanes_are_laid_out_without_a_call_for_each_text(monkeypatch):
+    calls, arange = [], np.arange
+    monkeypatch.setattr(np, "arange", lambda *a, **k: calls.append(1) or arange(*a, **k))
+    lanes = H.Lanes(np.full(500, 3), 40)
+    assert len(calls) < 20 and sorted(lanes.token.tolist()) == list(range(1500))
