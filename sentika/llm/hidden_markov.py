@@ -41,6 +41,8 @@ ROUNDS = 4
 FOLDS, HELD_OUT = 7, 2
 #: Bytes of text in a block, and tokens that run through the recursion together (a longer text alone).
 BLOCK_BYTES, RUN_TOKENS = 15 << 20, 1 << 17
+#: Bytes of text that are cut into words at a time (a longer text alone): a word is an object of 40 bytes.
+PIECE_BYTES = 1 << 20
 #: Texts that run side by side.
 LANES = 512
 #: Weight, in tokens, of the corpus' own shares in each state's emissions, and of even moves.
@@ -48,6 +50,12 @@ PRIOR = 20.0
 #: No word can be empty, so the end takes the empty string's place among the words.
 END = b""
 BLOCKS = "ids array<long>, held array<boolean>, lengths array<int>, tokens binary, words array<binary>, counts array<long>"
+#: Rows of a block when it is scored: its words, then their counts, then its texts by ascending part.
+KNOWN = "block long, part int, places binary, found binary"
+PIECES = "words array<binary>, ids array<long>, held array<boolean>, lengths array<int>, tokens binary"
+WORDS, COUNTS = -2, -1
+#: Words whose counts a task puts together.
+KNOWN_ROWS = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -204,29 +212,34 @@ def _remainder(doc_id: int | None, folds: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % folds
 
 
-def _block(ids: list, texts: list[bytes], folds: int, held_out: int) -> pa.RecordBatch:
+def _coded(texts: list[bytes]) -> tuple[list[int], pa.DictionaryArray]:
+    """Tokens in each text, and the words of all as numbers."""
+    parts = [[*t.translate(ASCII_LOWER).split(), END] for t in texts]
+    return [len(p) for p in parts], pa.array([w for p in parts for w in p], pa.binary()).dictionary_encode()
+
+
+def _block(ids: list, lengths: list[int], coded: list[pa.DictionaryArray], folds: int, held_out: int) -> pa.RecordBatch:
     """One block: its texts as numbers of its different words, which are counted over its training texts."""
-    parts = [t.translate(ASCII_LOWER).split() for t in texts]
+    alike = pa.chunked_array(coded).unify_dictionaries()
+    words = alike.chunk(0).dictionary
+    flat = np.concatenate([c.indices.to_numpy() for c in alike.chunks])
+    del alike
     # by length: texts that run side by side then end together
-    order = sorted(range(len(parts)), key=lambda i: -len(parts[i]))
-    ids, parts = [ids[i] for i in order], [parts[i] for i in order]
-    for p in parts:
-        p.append(END)
-    lengths = np.array([len(p) for p in parts], np.int32)
-    flat = pa.array([w for p in parts for w in p], pa.large_binary())
-    del parts  # millions of small objects
-    coded = flat.dictionary_encode()
-    tokens = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+    ends = np.cumsum(lengths)
+    order = np.argsort(-np.array(lengths), kind="stable").tolist()
+    tokens = np.concatenate([flat[ends[i] - lengths[i] : ends[i]] for i in order])
+    del flat
+    ids, sizes = [ids[i] for i in order], np.array([lengths[i] for i in order], np.int32)
     held = np.array([_remainder(i, folds) == held_out for i in ids])
-    counts = np.bincount(tokens[np.repeat(~held, lengths)], minlength=len(coded.dictionary))
+    counts = np.bincount(tokens[np.repeat(~held, sizes)], minlength=len(words))
     one = lambda values, kind: pa.array([values], pa.list_(kind))
     return pa.record_batch(
         {
             "ids": one(ids, pa.int64()),
             "held": one(held, pa.bool_()),
-            "lengths": one(lengths, pa.int32()),
-            "tokens": pa.array([tokens.tobytes()], pa.binary()),
-            "words": one(coded.dictionary.cast(pa.binary()), pa.binary()),
+            "lengths": one(sizes, pa.int32()),
+            "tokens": pa.array([tokens.data], pa.binary()),
+            "words": one(words, pa.binary()),
             "counts": one(counts.astype(np.int64), pa.int64()),
         }
     )
@@ -234,19 +247,23 @@ def _block(ids: list, texts: list[bytes], folds: int, held_out: int) -> pa.Recor
 
 def _blocks(folds: int, held_out: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list = []
-        texts: list[bytes] = []
-        held = 0
+        ids, lengths, coded, held = [], [], [], 0
+        # words are objects of Python for a piece of the texts at a time, and numbers from then on
         for batch, raw in blocks_of(batches, "text", BLOCK_BYTES):
             size = sum(map(len, raw))
             if ids and held + size > BLOCK_BYTES:
-                yield _block(ids, texts, folds, held_out)
-                ids, texts, held = [], [], 0
+                block = _block(ids, lengths, coded, folds, held_out)
+                ids, lengths, coded, held = [], [], [], 0
+                yield block
+                del block
             ids += batch.column(0).to_pylist()
-            texts += raw
+            for texts in _runs(np.array([len(t) + 1 for t in raw]), PIECE_BYTES):
+                found, numbers = _coded(raw[texts])
+                lengths += found
+                coded.append(numbers)
             held += size
         if ids:
-            yield _block(ids, texts, folds, held_out)
+            yield _block(ids, lengths, coded, folds, held_out)
 
     return run
 
@@ -255,11 +272,11 @@ def _values(batch: pa.RecordBatch, name: str, row: int) -> np.ndarray:
     return batch.column(name)[row].values.to_numpy(zero_copy_only=False)
 
 
-def _runs(lengths: np.ndarray) -> Iterator[slice]:
-    """Neighbouring texts with ``RUN_TOKENS`` tokens at most, or one longer text."""
+def _runs(lengths: np.ndarray, most: int = RUN_TOKENS) -> Iterator[slice]:
+    """Neighbouring texts with ``most`` tokens at most, or one longer text."""
     first = total = 0
     for i, n in enumerate(lengths.tolist()):
-        if total and total + n > RUN_TOKENS:
+        if total and total + n > most:
             yield slice(first, i)
             first, total = i, 0
         total += n
@@ -279,7 +296,7 @@ def _summed(tables: Tables):
                 classes = class_of(batch.column("words")[row].values, tables.frequent)
                 lengths = _values(batch, "lengths", row)
                 trained = ~_values(batch, "held", row).astype(bool)
-                tokens = np.frombuffer(batch.column("tokens")[row].as_py(), np.int32)[np.repeat(trained, lengths)]
+                tokens = np.frombuffer(batch.column("tokens")[row].as_buffer(), np.int32)[np.repeat(trained, lengths)]
                 lengths = lengths[trained].astype(np.int64)
                 bounds = np.concatenate([[0], np.cumsum(lengths)])
                 for texts in _runs(lengths):
@@ -350,10 +367,62 @@ class Corpus:
         return normalised(start, moves, counts, self.shares, tables.frequent), likelihood
 
     def counted(self) -> DataFrame:
-        """The blocks with ``known``: number and training count of each of their words that has one."""
+        """The blocks as rows of some 100,000 tokens, each block's behind its words and the training counts of those that have one."""
         words = self.blocks.select("block", F.posexplode("words").alias("i", "word"))
-        found = words.join(self.counts, "word").groupBy("block").agg(F.collect_list(F.struct("i", "c")).alias("known"))
-        return self.blocks.drop("counts").join(found, "block", "left")
+        known = words.join(self.counts, "word").select("block", "i", "c").mapInArrow(_known, KNOWN)
+        rows = self.blocks.drop("counts").mapInArrow(_pieces, f"{KNOWN}, {PIECES}")
+        return rows.unionByName(known, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "part")
+
+
+def _known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words' counts side by side, one row a block for every ``KNOWN_ROWS`` words."""
+
+    def given(held: list[tuple]) -> pa.RecordBatch:
+        block, place, count = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(block, kind="stable")
+        numbers, first = np.unique(block[order], return_index=True)
+        cut = lambda x: pa.array([v.tobytes() for v in np.split(x[order], first[1:])], pa.binary())
+        return pa.record_batch(
+            {
+                "block": pa.array(numbers, pa.int64()),
+                "part": pa.array(np.full(len(numbers), COUNTS), pa.int32()),
+                "places": cut(place.astype(np.int32)),
+                "found": cut(count.astype(np.int64)),
+            }
+        )
+
+    held, rows = [], 0
+    for batch in batches:
+        held.append(tuple(batch.column(c).to_numpy() for c in ("block", "i", "c")))
+        rows += batch.num_rows
+        if rows >= KNOWN_ROWS:
+            yield given(held)
+            held, rows = [], 0
+    if rows:
+        yield given(held)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of each block, then its texts, as many at a time as run through the recursion together."""
+    kinds = {"block": pa.int64(), "part": pa.int32(), "places": pa.binary(), "found": pa.binary()}
+    kinds |= {"words": pa.list_(pa.binary()), "ids": pa.list_(pa.int64()), "held": pa.list_(pa.bool_())}
+    kinds |= {"lengths": pa.list_(pa.int32()), "tokens": pa.binary()}
+
+    def row(**values) -> pa.RecordBatch:
+        as_list = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v)
+        made = {n: as_list(v) if isinstance(v, pa.Array) else pa.array([v], kinds[n]) for n, v in values.items()}
+        return pa.record_batch({n: made[n].cast(k) if n in made else pa.nulls(1, k) for n, k in kinds.items()})
+
+    for batch in batches:
+        for k in range(batch.num_rows):
+            block = batch.column("block")[k].as_py()
+            yield row(block=block, part=WORDS, words=batch.column("words")[k].values)
+            ids, held, lengths = (batch.column(c)[k].values for c in ("ids", "held", "lengths"))
+            tokens = batch.column("tokens")[k].as_buffer()
+            ends = np.concatenate([[0], np.cumsum(lengths.to_numpy(), dtype=np.int64)]) * 4
+            for part, texts in enumerate(_runs(lengths.to_numpy())):
+                own = tokens.slice(ends[texts.start], ends[texts.stop] - ends[texts.start])
+                yield row(block=block, part=part, ids=ids[texts], held=held[texts], lengths=lengths[texts], tokens=own.to_pybytes())
 
 
 def _scored(tables: Tables, tokens: np.ndarray, words: np.ndarray):
@@ -362,40 +431,43 @@ def _scored(tables: Tables, tokens: np.ndarray, words: np.ndarray):
     alone = np.ones(len(tokens), bool)  # classes of one word
     alone[FREQUENT : FREQUENT + TAILS] = False
 
+    def scores(batch: pa.RecordBatch, row: int, classes: np.ndarray, c: np.ndarray, share: np.ndarray, base: np.ndarray) -> pa.RecordBatch:
+        lengths = _values(batch, "lengths", row).astype(np.int64)
+        numbers = np.frombuffer(batch.column("tokens")[row].as_buffer(), np.int32)
+        begins = np.cumsum(lengths) - lengths
+        lanes = Lanes(lengths)
+        placed = np.take(classes[numbers], lanes.token)
+        _, scale = forward(lanes, np.take(tables.by_class, placed, axis=0), tables.start, tables.moves)
+        text = np.repeat(np.arange(len(lengths)), lengths)[lanes.token]
+        score = np.add.reduceat(share[numbers], begins)
+        score += np.bincount(text, weights=np.log10(scale), minlength=len(lengths))
+        return pa.record_batch(
+            {
+                "id": batch.column("ids")[row].values.cast(pa.int64()),
+                "held_out": batch.column("held")[row].values,
+                "n_tokens": pa.array(lengths),
+                "n_known": pa.array(np.add.reduceat((c > 0)[numbers].astype(np.int64), begins)),
+                "train_tokens": pa.array(np.full(len(lengths), total)),
+                "base_score": pa.array(np.add.reduceat(base[numbers], begins)),
+                "score": pa.array(score),
+            }
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = c = share = base = np.zeros(0, np.int64)
         for batch in batches:
-            for row in range(batch.num_rows):
-                vocabulary = batch.column("words")[row].values
-                c = np.zeros(len(vocabulary), np.int64)
-                known = batch.column("known")[row]
-                if known.is_valid:
-                    fields = known.values.flatten()
-                    c[fields[0].to_numpy(zero_copy_only=False)] = fields[1].to_numpy(zero_copy_only=False)
-                classes = class_of(vocabulary, tables.frequent)
-                share = np.where(alone[classes], 0.0, np.log10(c + 1.0) - within[classes])
-                base = np.log10(c + 1.0) - np.log10(total + different + 1.0)
-                lengths = _values(batch, "lengths", row).astype(np.int64)
-                numbers = np.frombuffer(batch.column("tokens")[row].as_py(), np.int32)
-                begins = np.cumsum(lengths) - lengths
-                score = np.add.reduceat(share[numbers], begins)
-                for texts in _runs(lengths):
-                    own = slice(begins[texts.start], begins[texts.stop - 1] + lengths[texts.stop - 1])
-                    lanes = Lanes(lengths[texts])
-                    placed = np.take(classes[numbers[own]], lanes.token)
-                    _, scale = forward(lanes, np.take(tables.by_class, placed, axis=0), tables.start, tables.moves)
-                    text = np.repeat(np.arange(len(lengths[texts])), lengths[texts])[lanes.token]
-                    score[texts] += np.bincount(text, weights=np.log10(scale), minlength=len(lengths[texts]))
-                yield pa.record_batch(
-                    {
-                        "id": batch.column("ids")[row].values.cast(pa.int64()),
-                        "held_out": batch.column("held")[row].values,
-                        "n_tokens": pa.array(lengths),
-                        "n_known": pa.array(np.add.reduceat((c > 0)[numbers].astype(np.int64), begins)),
-                        "train_tokens": pa.array(np.full(len(lengths), total)),
-                        "base_score": pa.array(np.add.reduceat(base[numbers], begins)),
-                        "score": pa.array(score),
-                    }
-                )
+            for row, part in enumerate(batch.column("part").to_pylist()):
+                if part == WORDS:
+                    classes = class_of(batch.column("words")[row].values, tables.frequent)
+                    c = np.zeros(len(classes), np.int64)
+                elif part == COUNTS:
+                    places, found = batch.column("places")[row].as_buffer(), batch.column("found")[row].as_buffer()
+                    c[np.frombuffer(places, np.int32)] = np.frombuffer(found, np.int64)
+                else:
+                    if part == 0:
+                        share = np.where(alone[classes], 0.0, np.log10(c + 1.0) - within[classes])
+                        base = np.log10(c + 1.0) - np.log10(total + different + 1.0)
+                    yield scores(batch, row, classes, c, share, base)
 
     return run
 
@@ -417,6 +489,5 @@ def score(
     for _ in range(rounds):
         tables, _ = corpus.round(tables)
     schema = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    # blocks come back whole; one is some hundred kilobytes of numbers and its words
     scored = corpus.counted().mapInArrow(_scored(tables, corpus.tokens, corpus.words), schema)
     return scored.withColumnRenamed("id", id_col)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -176,3 +177,28 @@ def test_lanes_are_laid_out_without_a_call_for_each_text(monkeypatch):
     monkeypatch.setattr(np, "arange", lambda *a, **k: calls.append(1) or arange(*a, **k))
     lanes = H.Lanes(np.full(500, 3), 40)
     assert len(calls) < 20 and sorted(lanes.token.tolist()) == list(range(1500))
+
+
+def test_words_of_a_block_are_objects_for_a_piece_at_a_time(monkeypatch):
+    rnd = np.random.default_rng(3)
+    texts = [" ".join(map(str, rnd.integers(0, 5_000, n))) for n in (60_000, 3, 40_000, 0, 90_000, 110_000) * 4]
+    texts[5] = None
+    batches = lambda: iter([pa.record_batch({"id": pa.array(range(24)), "text": pa.array(texts)})])
+    monkeypatch.setattr(H, "PIECE_BYTES", 1 << 18)
+    tracemalloc.start()
+    (block,) = H._blocks(7, 2)(batches())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6 * sum(len(t or "") for t in texts)  # an object of 40 bytes a word makes 10 or more
+    words = block.column("words")[0].as_py()
+    tokens = np.frombuffer(block.column("tokens")[0].as_py(), np.int32).tolist()
+    ids, lengths, held = (block.column(c)[0].as_py() for c in ("ids", "lengths", "held"))
+    assert lengths == sorted(lengths, reverse=True) and sorted(ids) == list(range(24))
+    used = Counter()
+    for i, n, out in zip(ids, lengths, held, strict=True):
+        own, tokens = tokens[:n], tokens[n:]
+        assert [words[k] for k in own] == [*(texts[i] or "").encode().split(), b""]
+        assert out == (zlib.crc32(str(i).encode()) % 7 == 2)
+        used.update([] if out else own)
+    assert not tokens and len(set(words)) == len(words)
+    assert block.column("counts")[0].as_py() == [used[k] for k in range(len(words))]
