@@ -1103,10 +1103,11 @@ def stream_first_arrival(spark, sf):
         S.conform_schema(Z.read_json_stream(spark, p, LANDING, per_batch=4), RAW).withColumn("feed_rank", F.lit(i))
         for i, p in enumerate(paths)
     ]
-    days = V.reviews(spark, sf).agg(F.datediff(F.max("review_date"), F.min("review_date")).alias("d")).first().d
+    span = F.datediff(F.max("review_date"), F.min("review_date"))
+    days, expected = V.reviews(spark, sf).agg(span, F.count(F.lit(1))).first()
     order = [("feed_rank", False), ("review_date", True), ("review_text", False)]
     stacked = feeds[1].unionByName(feeds[0])
-    firsts = Y.stream_first(stacked, timedelta(days=(days or 0) + 1), "review_id", "review_date", order)
+    firsts = Y.stream_first(stacked, timedelta(days=(days or 0) + 1), "review_id", "review_date", order, expected_keys=expected)
     out = Z.run_available(firsts, "stream-first", "update")
     return Y.last_updates(spark, out, "review_id").select("review_id", "review_text", "rating", "helpful_count")
 

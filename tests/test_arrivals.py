@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,3 +86,66 @@ def test_orders_without_a_text_form(spark):
     for kind, down in ((T.StringType(), True), (T.DoubleType(), False)):
         with pytest.raises(ValueError):
             Y.sortable(F.lit("x"), kind, down)
+
+
+class State:
+    """What the processor sees of Spark's state."""
+
+    def __init__(self):
+        self.value, self.timer, self.now, self.hasTimedOut = None, None, 0, False
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+    getCurrentWatermarkMs = lambda self: self.now
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = self.timer = None
+
+    def setTimeoutTimestamp(self, timer):
+        assert timer >= self.now
+        self.timer = timer
+
+
+def frame(rows):
+    return pd.DataFrame(rows, columns=["__key", "__order", "__row", "__ms"])
+
+
+def test_keys_of_a_group_share_a_call_and_keep_their_own_timers():
+    """Against one plain state a key: the best row, the end set by the first arrival, the timer."""
+    rnd = random.Random(8)
+    run, state, plain, calls, updates = Y._keep_best(50), State(), {}, 0, 0
+    long = ["1" + "x" * 40 + c for c in "abc"]
+    for _ in range(400):
+        state.now += rnd.choice([0, 0, 10, 30])
+        rows = []
+        for _ in range(rnd.choice([0, 0, 1, 2, 9])):
+            rank = [rnd.choice(["0", "1007"]), rnd.choice([*long, "1", "1x", "0"])]
+            rows.append((rnd.choice(["a", "b", "c", "", None]), json.dumps(rank), rnd.choice('"é'), state.now + rnd.randrange(30)))
+        want = {}
+        for key, order, row, time in rows:
+            own = plain.setdefault(key, {"best": None, "until": time + 50})
+            if own["best"] is None or (json.loads(order), row) < own["best"]:
+                own["best"], want[key] = (json.loads(order), row), row
+        for key in list(plain):
+            if key in {r[0] for r in rows}:
+                plain[key]["timer"] = max(plain[key]["until"], state.now + 1)
+            elif plain[key]["timer"] < state.now:
+                del plain[key]
+        state.hasTimedOut = not rows and state.timer is not None and state.timer < state.now
+        if rows or state.hasTimedOut:
+            cut = rnd.randrange(len(rows) + 1)
+            got = [r for out in run((0,), iter([frame(rows[:cut]), frame(rows[cut:])]), state) for r in out["row"]]
+            assert sorted(got) == sorted(want.values())
+            calls, updates = calls + 1, updates + len(got)
+        held = dict(zip(state.value[0], state.value[3:][0])) if state.exists else {}
+        assert held == {k: v["until"] for k, v in plain.items()}
+    assert updates > calls > 100
+
+
+def test_kept_rows_are_compressed():
+    state, row = State(), json.dumps({"text": "a text of some words " * 200})
+    list(Y._keep_best(50)((0,), iter([frame([(str(k), json.dumps(["0", "1" + row]), row, 0) for k in range(64)])]), state))
+    assert len(state.value[0]) == 64 and sum(map(len, state.value[2])) < 64 * len(row) / 4
