@@ -7,6 +7,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_rows import BASE, ROWS, WORDS, documents
 from pyspark.sql import functions as F
@@ -139,6 +140,37 @@ def test_repeated_strings_equal_brute_force(spark, docs, empty, monkeypatch):
     assert substring_dedup.without_repeats(empty).count() == 0
 
 
+def test_touching_repeats_of_a_text_are_one_row(spark):
+    """A line repeated in a row gave a row for each time, all of them under one key."""
+    line, other = "Is onhe. ", "and another line, of some more letters than the first one; "
+    texts = [line * 100, other + line * 60 + other + line * 60, "x" * 3000, other * 40, (line + other) * 20, other + line * 9]
+    batch = pa.record_batch({"id": range(6), "text_key": range(6), "text": texts}, pa.schema([("id", pa.int64()), ("text_key", pa.int64()), ("text", pa.string())]))
+    rows = pa.Table.from_batches(substring_dedup._anchors(64)(iter([batch]))).to_pylist()
+    runs = [len(list(substring_dedup.anchor_runs(t.encode(), 64))) for t in texts]
+    for i in (0, 2, 3):
+        own = [r for r in rows if r["id"] == i]
+        assert runs[i] > 30 and len(own) < 8 and sum(r["copies"] for r in own) == runs[i]
+    table = [*enumerate(texts), (9, texts[1]), (9, texts[1])]
+    want = Counter((i, *x) for (i, _), x in zip(table, _removed([t for _, t in table], 64), strict=True))
+    got = substring_dedup.without_repeats(documents(spark, table), length=64).collect()
+    assert want == Counter(
+        (r.doc_id, r.n_bytes, sum(s["end"] - s["start"] for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in got
+    )
+
+
+def test_a_shared_passage_counts_by_its_bytes(spark):
+    """Sixty words of 399 bytes stay, those of 400 bytes go, whatever the length of the documents."""
+    rnd = random.Random(8)
+    words = lambda n, size: " ".join("".join(rnd.choice("abcdefgh") for _ in range(size)) for _ in range(n))
+    short = words(59, 5) + " " + words(1, 45)  # 399 bytes
+    long = words(59, 5) + " " + words(1, 46)
+    rows = [(i, "<" + words(20, 4) + "[" + p + "]" + words(30, 3) + ">") for i, p in enumerate((short, short, long, long))]
+    # what stands beside the passages differs in its first and last byte
+    rows = [(i, t.replace("[", "[({"[i % 2]).replace("]", "])}"[i % 2])) for i, t in rows]
+    got = {r.doc_id: [s["end"] - s["start"] for s in r.spans] for r in substring_dedup.without_repeats(documents(spark, rows)).collect()}
+    assert len(short) == 399 and got == {0: [], 1: [], 2: [400], 3: [400]}
+
+
 def test_suffix_order_is_sorted_and_prefixes_are_true():
     rnd = random.Random(4)
     for letters in (b"ab", b"a", bytes(range(256))):
