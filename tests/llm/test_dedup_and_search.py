@@ -230,6 +230,32 @@ def test_few_or_no_candidates(spark):
     assert vector_search.nearest_neighbours(none).count() == 0
 
 
+def test_driver_gets_one_sample_from_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(vector_search, "MAX_SAMPLE", 500)
+    many = spark.range(0, 20_000, 1, 40).selectExpr("id AS vec_id", "transform(sequence(1, 64), k -> sin(id * k)) AS embedding").where("vec_id > 0")
+    rows = many.selectExpr("xxhash64(vec_id) AS h", "vec_id", "embedding").collect()
+    want = np.array([r.embedding for r in sorted(rows, key=lambda r: (r.h, r.vec_id))[:500]])
+    conf = spark.sparkContext._jsc.sc().conf()
+    before = conf.get("spark.driver.maxResultSize", "1g")
+    conf.set("spark.driver.maxResultSize", "2m")  # a sample has 256 kB
+    try:
+        index = vector_search.Index(many)
+        assert index.calibrate(index.rows.where("id % 1000 = 0"), 5) >= 1
+        assert (vector_search._sample(many.selectExpr("vec_id AS id", "embedding AS v"), 19_999, 64) == want).all()
+    finally:
+        conf.set("spark.driver.maxResultSize", before)
+    assert index.rows.count() == 19_999
+
+
+def test_sample_of_ids_that_repeat(spark, monkeypatch):
+    monkeypatch.setattr(vector_search, "MAX_SAMPLE", 50)
+    top = max(range(100), key=lambda i: spark.range(i, i + 1).selectExpr("xxhash64(id)").first()[0])  # its hash is dropped first
+    same = spark.range(0, 400).selectExpr(f"{top}L AS id", "array(cast(id AS double), 1d) AS v")
+    assert vector_search._sample(same, 400, 2).shape == (50, 2)
+    assert vector_search._sample(same.where("v[0] < 30"), 30, 2)[:, 0].sum() == sum(range(30))
+    assert vector_search._sample(same.limit(0), 0, 2).shape == (0, 2)
+
+
 def test_base_text_is_near_its_copy():
     assert _groups([(1, BASE), (2, BASE + " more")])[(2, 57, 1, False)] == 1
 
