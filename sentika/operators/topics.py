@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from sentika.operators.joint import Features, hashed_words
 from sentika.operators.lookups import term_frequencies, top_terms_per_group
-from sentika.session import scratch_path
+from sentika.session import broadcast_if_small, evaluate_once, scratch_path
 
 _ENTRIES = 1 << 15  # multiplied at a time
 
@@ -241,24 +241,54 @@ def topic_terms(assigned: DataFrame, k: int = 10, text_col: str = "clean_text",
     return top_terms_per_group(counts, "cluster_id", k)
 
 
+def counted_words(df: DataFrame, key: str, text_col: str, num_features: int) -> DataFrame:
+    """``key, entries``: the different hashed words of each text, in order, with how often they occur.
+
+    A text is counted within its row, without a shuffle. Only rows whose key comes again, which are one
+    text, meet by key and word.
+    """
+    spark = df.sparkSession
+    hashed = hashed_words(text_col, num_features).alias("hashed")
+    path = scratch_path(spark, "topic-keys")
+    df.groupBy(F.col(key).alias("again")).count().where("count > 1").select("again").write.parquet(path)
+    keys = spark.read.parquet(path)
+    rows, same = df.select(F.col(key).alias("key"), hashed), F.col("key").eqNullSafe(F.col("again"))
+    none = keys.isEmpty()
+    keys = broadcast_if_small(keys)
+    single = evaluate_once(rows if none else rows.join(keys, same, "left_anti"), {"hashed": F.sort_array("hashed")})
+    starts = F.transform("hashed", lambda w, i: F.when((i == 0) | (w != F.get("hashed", i - 1)), i))
+    single = evaluate_once(single, {"starts": F.array_compact(starts)})
+    entry = lambda p, i: F.struct(
+        F.get("hashed", p).alias("feature"), (F.coalesce(F.get("starts", i + 1), F.size("hashed")) - p).cast("long").alias("n")
+    )
+    counts = single.select("key", F.transform("starts", entry).alias("entries"))
+    if none:
+        return counts
+    met = rows.join(keys, same, "left_semi").select("key", F.explode("hashed").alias("feature")).groupBy("key", "feature")
+    listed = F.sort_array(F.collect_list(F.struct("feature", "n")))  # num_features at most
+    return counts.union(met.agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(listed.alias("entries")))
+
+
 def cost_by_join(df: DataFrame, model: TopicModel, key: str, text_col: str = "clean_text") -> DataFrame:
     """``texts, cost, one_centre``: the cost again, by joins and sums alone, and that of the mean of all rows.
 
-    ``key`` must be unique.
+    ``key`` must be unique. Counts are written once; what is shuffled has a row for each text, or feature and task.
     """
     spark, k = df.sparkSession, len(model.centres)
-    path = scratch_path(spark, "topic-weights")
+    path, counts_path = scratch_path(spark, "topic-weights"), scratch_path(spark, "topic-counts")
     model.save(spark, path)
-    weights = F.broadcast(spark.read.parquet(path))  # num_features rows
-    counts = df.select(key, F.explode(hashed_words(text_col, len(model.features.idf))).alias("feature")).groupBy(key, "feature").count()
-    raw = counts.join(weights, "feature").withColumn("v", F.col("count") * F.col("idf")).where("v > 0")
+    weights = spark.read.parquet(path)  # num_features rows
+    idf = weights.agg(F.sort_array(F.collect_list(F.struct("feature", "idf"))).alias("w")).select(F.col("w.idf").alias("by_feature"))
+    squares = F.aggregate("entries", F.lit(0.0), lambda a, e: a + F.pow(e["n"] * F.get("by_feature", e["feature"]), F.lit(2.0)))
+    counts = counted_words(df, key, text_col, len(model.features.idf)).crossJoin(F.broadcast(idf))
+    counts.select("key", "entries", F.sqrt(squares).alias("whole")).write.option("compression", "zstd").parquet(counts_path)
+    counts = spark.read.parquet(counts_path).select("key", "whole", F.inline("entries"))
+    raw = counts.join(F.broadcast(weights), "feature").withColumn("v", F.col("n") * F.col("idf")).where("v > 0")
     products = [F.sum(F.col("v") * F.get("centre", F.lit(j))) for j in range(k)]
     norms = (model.centres**2).sum(axis=1)
     length = F.sqrt(F.sum(F.col("v") * F.col("v")))
-    rows = raw.groupBy(key).agg(
-        length.alias("length"), F.least(*[F.lit(float(q)) - 2 * p / length for p, q in zip(products, norms)]).alias("d")
-    )
-    mean = raw.join(rows.select(key, "length"), key).groupBy("feature").agg(F.sum(F.col("v") / F.col("length")).alias("m"))
+    rows = raw.groupBy("key").agg(F.least(*[F.lit(float(q)) - 2 * p / length for p, q in zip(products, norms)]).alias("d"))
+    mean = raw.where(F.col("key").isNotNull()).groupBy("feature").agg(F.sum(F.col("v") / F.col("whole")).alias("m"))
     square = mean.agg(F.coalesce(F.sum(F.col("m") * F.col("m")), F.lit(0.0)).alias("square"))
     totals = rows.agg(F.count(F.lit(1)).alias("texts"), F.coalesce(F.sum(1 + F.col("d")), F.lit(0.0)).alias("cost"))
     return totals.crossJoin(square).select(  # one row each

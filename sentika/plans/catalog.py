@@ -849,7 +849,7 @@ def kmeans_topic_terms(spark, sf):
 def text_topic_costs(spark, sf):
     """The cost table of topics of the texts; the kept start is the cheapest, its cost is found again
     by joins and sums, and it is below that of a single centre."""
-    texts = _written(V.cleaned(spark, sf), "cleaned")
+    texts = _written(V.cleaned(spark, sf).drop("review_text"), "cleaned")
     topics = K.fit_text_topics(texts)
     again = K.cost_by_join(texts, topics.model, "review_id").withColumnRenamed("texts", "texts_again")
     best = topics.costs.where("kept").select(F.col("cost").alias("best"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sentika.operators import topics as K
 
@@ -68,6 +70,27 @@ def test_costs_and_kept_start(training, topics, texts):
     assert again.one_centre == pytest.approx(((x - x.mean(axis=0)) ** 2).sum())
 
 
+def test_counted_words_and_keys_that_repeat(spark, topics):
+    rows = [("a", "sun sea sun"), ("b", "sea"), ("b", "sea sun"), (None, "sand"), (None, "sand sun"), ("c", ""), ("d", None), ("e", "x " * 9_000)]
+    df = spark.createDataFrame(rows, "key string, clean_text string")
+    of = {r.key: Counter({e.feature: e.n for e in r.entries}) for r in K.counted_words(df, "key", "clean_text", 64).collect()}
+    hashed = df.select("key", K.hashed_words("clean_text", 64).alias("h")).collect()
+    want = {k: sum((Counter(r.h) for r in hashed if r.key == k), Counter()) for k in ["a", "b", None, "c", "d", "e"]}
+    assert {k: c for k, c in of.items() if c} == {k: c for k, c in want.items() if c}
+    single = K.counted_words(df.where("key IN ('a', 'e')"), "key", "clean_text", 64).collect()
+    assert all(Counter({e.feature: e.n for e in r.entries}) == want[r.key] for r in single) and len(single) == 2
+    joined = df.groupBy("key").agg(F.concat_ws(" ", F.collect_list("clean_text")).alias("clean_text")).fillna("none", "key")
+    once, again = (K.cost_by_join(d, topics.model, "key").first() for d in (joined, df))
+    assert again.texts == once.texts and again.cost == pytest.approx(once.cost)
+
+
+def test_words_of_texts_are_not_shuffled(spark, topics, texts):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    moved = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan(K.cost_by_join(texts, topics.model, "id")))
+    assert moved and not [by for by in moved if "," in by] and "SortMergeJoin" not in plan(K.cost_by_join(texts, topics.model, "id"))
+    assert "Exchange" not in plan(K.counted_words(texts, "id", "clean_text", 64))
+
+
 def test_groups_are_found_and_broken_centres_cost_more(topics, texts):
     of = {r.id: r.cluster_id for r in topics.model.assign(texts).collect()}
     assert len({(i % 3, of[i]) for i in range(150)}) == 3 == len({of[i] for i in range(3)})
