@@ -20,7 +20,7 @@ from sentika.operators.joint import Features, hashed_words
 from sentika.operators.lookups import term_frequencies, top_terms_per_group
 from sentika.session import broadcast_if_small, evaluate_once, scratch_path
 
-_ENTRIES = 1 << 15  # multiplied at a time
+_ENTRIES = 1 << 13  # multiplied at a time, so that their products stay in the cache
 
 
 @dataclass(frozen=True)
@@ -51,7 +51,9 @@ def _distances(row, feature, value, rows: int, by_feature: np.ndarray, norms: np
     held = np.zeros(rows, bool)
     if len(row):
         first = np.flatnonzero(np.diff(row, prepend=-1))
-        out[row[first]] = np.add.reduceat(value[:, None] * by_feature[feature], first, axis=0)
+        parts = by_feature.take(feature, axis=0)
+        parts *= value[:, None]
+        out[row[first]] = np.add.reduceat(parts, first, axis=0)
         held[row[first]] = True
     return np.maximum(1.0 - 2.0 * out + norms, 0.0), held
 
@@ -61,12 +63,13 @@ def _moving(features: Features, shared, starts: int, k: int):
         by_feature, norms = shared.value
         width, slots = by_feature.shape
         total = np.zeros((width + 1, slots))  # the last row counts
+        flat = total.reshape(-1)  # one index a number is added faster than two
         for batch in batches:
             for _, n, row, feature, value in _pieces(features, batch.column(0)):
                 far, held = _distances(row, feature, value, n, by_feature, norms)
                 for s in range(starts):
                     slot = s * k + far[:, s * k : (s + 1) * k].argmin(axis=1)
-                    np.add.at(total, (feature, slot[row]), value)
+                    np.add.at(flat, feature * slots + slot[row], value)
                     total[width] += np.bincount(slot[held], minlength=slots)
         seen = np.flatnonzero(total.any(axis=1))
         yield pa.record_batch({"feature": pa.array(seen, pa.int64()), **{f"g{j}": pa.array(total[seen, j]) for j in range(slots)}})
@@ -168,10 +171,10 @@ class TopicTraining:
         path = scratch_path(spark, "topic-rows")
         # the whole row is hashed, so that a text that occurs often is dealt to all batches
         deal = F.pmod(F.xxhash64(F.lit(config.seed), *[c for c, t in df.dtypes if not t.startswith("map")]), F.lit(config.batches))
-        df.select(hashed.alias("hashed"), deal.cast("int").alias("batch")).where(F.size("hashed") > 0).write.partitionBy(
-            "batch"
-        ).parquet(path)
-        self.rows = spark.read.schema("hashed array<int>, batch int").parquet(path)
+        of_text = F.xxhash64(F.lit(config.seed), F.sort_array("hashed")).alias("h")
+        rows = evaluate_once(df, {"hashed": hashed, "batch": deal.cast("int")}).select("hashed", of_text, "batch")
+        rows.where(F.size("hashed") > 0).write.partitionBy("batch").parquet(path)
+        self.rows = spark.read.schema("hashed array<int>, h long, batch int").parquet(path)
         held = self.rows.select(F.explode(F.array_distinct("hashed")).alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n"))
         texts = self.rows.count()
         idf = np.full(config.num_features, np.log(texts + 1.0))
@@ -182,9 +185,8 @@ class TopicTraining:
     def first_centres(self) -> np.ndarray:
         """Different texts in hash order, ``k`` for each start; repeated where there are too few."""
         c = self.config
-        tagged = self.rows.select("hashed", F.xxhash64(F.lit(c.seed), F.array_sort("hashed")).alias("h"))
-        chosen = tagged.select("h").distinct().orderBy("h").limit(c.starts * c.k)
-        found = tagged.join(F.broadcast(chosen), "h").dropDuplicates(["h"]).orderBy("h").collect()  # starts x k rows
+        chosen = self.rows.select("h").distinct().orderBy("h").limit(c.starts * c.k)
+        found = self.rows.select("hashed", "h").join(F.broadcast(chosen), "h").dropDuplicates(["h"]).orderBy("h").collect()  # starts x k rows
         if not found:
             raise ValueError("no text with words")
         lists = pa.array([r.hashed for r in found], pa.list_(pa.int32()))
