@@ -222,6 +222,21 @@ def test_neighbours_reach_the_recall(spark):
     assert len(got) == 31 and hits / total >= 0.95
 
 
+def test_product_of_matrices_loses_no_neighbour():
+    rng = np.random.default_rng(3)
+    near = np.repeat(rng.normal(size=(40, 6)), 5, axis=0)  # ties, and rows that differ in the last bits
+    near[::7] *= 1 + 2**-50
+    for data in (near, 1e8 + near, 1e-200 * near, 1e200 * near, rng.normal(size=(500, 6)), near[:9]):
+        ids = rng.permutation(len(data)) // 2  # ids come twice
+        queries, own = data[::11], ids[::11]
+        got = vector_search.nearest_of_each(queries, own, data, ids, 7)
+        assert len(got) == len(queries)
+        for (q, i, d), v, o in zip(got, queries, own):
+            with np.errstate(over="ignore"):
+                want_i, want_d = vector_search.nearest_of(v, o, data, ids, 7)
+            assert q == o and (i == want_i).all() and (d == want_d).all()
+
+
 def test_few_or_no_candidates(spark):
     rows = [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (100, [1.0, 3.0])]
     got = vector_search.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
